@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, exact_dedup, mixing, quality_rules, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_mixing": mixing.op6_mixing,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_exact_dedup": exact_dedup.SQL,
+        "op6_mixing": mixing.SQL,
+    }
