@@ -258,7 +258,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                 size = 0
         yield from flush()
 
-    pieces = texts.join(wanted.hint("shuffle_hash"), texts["row"] == wanted["run_row"], "left").select("row", "text", "runs").mapInArrow(cut, "h long, piece binary, places array<struct<row:long,first:int>>")
+    # all columns go along in all three reads of ``texts``, so that they are one exchange
+    pieces = texts.join(wanted.hint("shuffle_hash"), texts["row"] == wanted["run_row"], "left").select("row", "text", "runs", "doc_id").mapInArrow(cut, "h long, piece binary, places array<struct<row:long,first:int>>")
 
     def solve(batches):
         schema = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
