@@ -213,5 +213,12 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     return rows.join(named, rows["fp"] == named["class_fp"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def drop_near_copies(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` with the least id of their component, with all their columns."""
+    found = near_duplicates(docs, words, radius)
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped_id"))
+    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped_id"], "left_anti")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
