@@ -16,11 +16,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, fold, record_batch, sliced
@@ -68,13 +69,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def gram_at(padded: Column, size: Column, i: Column) -> Column:
+    return F.struct(size.alias("size"), F.substr(padded, i, size).alias("gram"))
+
+
 def gram_counts(words: DataFrame) -> DataFrame:
     """lang, size, gram, n from counted words."""
     padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     each = []
     for k in ORDERS:
-        last = F.length(padded) - k + 1
-        cut = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, k=k: F.struct(F.lit(k).alias("size"), F.substr(padded, i, F.lit(k)).alias("gram"))))
+        last, size = F.length(padded) - k + 1, F.lit(k)
+        cut = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), partial(gram_at, padded, size)))
         each.append(F.coalesce(cut, F.array().cast("array<struct<size:int,gram:string>>")))
     rows = words.select("lang", "n", F.explode(F.concat(*each)).alias("x"))
     return rows.groupBy("lang", "x.size", "x.gram").agg(F.sum("n").alias("n"))
