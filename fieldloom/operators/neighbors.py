@@ -51,7 +51,8 @@ def candidate_range_join(train: DataFrame, test: DataFrame, threshold: float) ->
     a = centers_of(train, "a_").withColumns({g: F.floor(F.col(f"a_c{i}") / F.lit(threshold)) for i, g in enumerate(cells, 1)})
     b = centers_of(test, "b_")
     for i, g in enumerate(cells, 1):
-        b = b.withColumn(g, F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s, i=i: F.floor(F.col(f"b_c{i}") / F.lit(threshold)) + s)))
+        own = F.floor(F.col(f"b_c{i}") / F.lit(threshold))
+        b = b.withColumn(g, F.explode(F.array(own - 1, own, own + 1)))
     d2 = squared_distance([F.col(f"a_c{i}") for i in range(1, d + 1)], [F.col(f"b_c{i}") for i in range(1, d + 1)])
     return a.join(b, cells).where(F.sqrt(d2) < F.lit(threshold)).select(F.col("a_cid").alias("src"), F.col("b_cid").alias("dest")).distinct()
 
@@ -63,7 +64,7 @@ def with_order(points: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _ranked(pairs: DataFrame, m: int) -> DataFrame:
     w = W.partitionBy("dest").orderBy("d2", "p_ord", "point_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def nearest_earlier(blocks: DataFrame, points: DataFrame, m: int, threshold: float | None = None, is_test: bool = False, limit: int = MAX_SHARED_CENTERS) -> DataFrame:

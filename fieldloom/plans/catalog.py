@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import array_squared_distance, distance_threshold, md5_order, squared_distance
+from ..functions.geometry import array_squared_distance, coordinates, distance_threshold, md5_order, squared_distance
 from ..functions.kernels import kernel
 from ..operators import blocks, estimation, extremes, flops, likelihood, neighbors, precision, prediction
 from ..sources import points as src
@@ -30,9 +30,15 @@ SPLIT = 10
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
+    """Doubles rounded, so that sums in another order print alike."""
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
+def rounded_coordinates(df: DataFrame) -> DataFrame:
+    """Coordinates rounded to 8 digits; obs has been rounded to 9 already, and halves of a rounded number go either way."""
+    return df.withColumns({c: F.round(c, 8) for c in coordinates(df)})
+
+
 def parts(spark: SparkSession, d: str) -> DataFrame:
     return src.part_points(spark, d)
 
@@ -267,7 +273,7 @@ def weighted_choice(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "scan_points": scan_points,
-        "part_points": lambda s, d: rounded(parts(s, d)),
+        "part_points": lambda s, d: rounded_coordinates(parts(s, d)),
         "event_points": lambda s, d: rounded(src.event_points(s, d)),
         "lineitem_points": lambda s, d: rounded(src.lineitem_points(s, d)),
         "smooth_points": lambda s, d: rounded(smooth(s, d)),
@@ -275,8 +281,8 @@ def queries() -> dict[str, Query]:
         "disc_split": lambda s, d: rounded(src.disc_points(src.ids_of(s, d, "orders", "o_orderkey"), 10.0), 10),
         "borehole": lambda s, d: rounded(src.borehole_points(src.ids_of(s, d, "orders", "o_orderkey")), 7),
         "limit_rows": lambda s, d: src.first_points(parts(s, d), 100).select("point_id"),
-        "scale_coords": lambda s, d: rounded(blocks.scaled(parts(s, d), SCALE2)),
-        "unscale_coords": lambda s, d: rounded(blocks.unscaled(blocks.scaled(parts(s, d), SCALE2), SCALE2)),
+        "scale_coords": lambda s, d: rounded_coordinates(blocks.scaled(parts(s, d), SCALE2)),
+        "unscale_coords": lambda s, d: rounded_coordinates(blocks.unscaled(blocks.scaled(parts(s, d), SCALE2), SCALE2)),
         "minmax_zscore": minmax_zscore,
         "cast_float": lambda s, d: blocks.narrowed(src.event_points(s, d)).select("point_id", F.col("x2").cast("double").alias("x2")),
         "linear_partition": lambda s, d: blocks.linear_part(src.event_points(s, d), (1.0, 0.5), 16).select("point_id", F.col("part").cast("bigint").alias("part")),

@@ -138,7 +138,7 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by time (in 30 days from 2024) and user; observed: the logarithm of the value."""
     events = table(spark, sf_dir, "events")
     users = events.agg((F.max("user_id") + 1).alias("users"))
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
     return events.crossJoin(F.broadcast(users)).select(
         F.col("event_id").cast("bigint").alias("point_id"),
         (micros / F.lit(30.0 * 86400.0 * 1e6)).alias("x1"),
