@@ -9,7 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-log_gamma = np.vectorize(math.lgamma, otypes=[np.float64])
+def log_gamma(a: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(a)]).reshape(np.shape(a))
 
 
 def incomplete_gamma(a: float | np.ndarray, x: np.ndarray) -> np.ndarray:
