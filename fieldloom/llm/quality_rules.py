@@ -35,7 +35,8 @@ MIN_WORDS = 100
 #: Patterns deleted one after the other; what a deletion removes is the class's count, the last class is the rest.
 CLASSES = (r"\p{Ll}+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"[0-9]+", r"[.,;:?!'()-]+")
 N_CLASSES = len(CLASSES) + 1
-POOL = "*"
+#: References: the pool of all documents, and a prefix for those of languages.
+POOL, OWN = "*", "="
 
 
 def class_counts(text: Column) -> Column:
@@ -101,7 +102,7 @@ def shares(counts: list[Column], total: Column) -> Column:
 
 def references(docs: DataFrame) -> DataFrame:
     """ref, classes (array of shares), common (array of words), common_shares of each language and of the pool."""
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("ref"), "text")
+    rows = docs.select(F.concat(F.lit(OWN), F.coalesce("lang", F.lit(""))).alias("ref"), "text")
     classes = class_counts(F.col("text"))
     each = rows.select("ref", classes.alias("k")).groupBy("ref").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(F.col("k")[i]).alias(f"k{i}") for i in range(N_CLASSES)])
     words = rows.select("ref", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("ref", "word").agg(F.count(F.lit(1)).alias("n"))
@@ -146,7 +147,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
     measured = docs.select(
         "doc_id",
-        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.concat(F.lit(OWN), F.coalesce("lang", F.lit(""))).alias("lang"),
         text,
         let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), counts).alias("c"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -179,3 +180,74 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir)).drop("class_distance", "word_distance")
+
+
+SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, '{OWN}' || coalesce(lang, '') AS ref FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d
+), win AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM (
+    SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3))
+), rep AS (
+  SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM win CROSS JOIN range(3) t(j) WHERE n >= 2 GROUP BY rid
+), t1 AS (SELECT *, regexp_replace(text, '\p{{Ll}}+', '', 'g') AS t FROM w
+), t2 AS (SELECT *, regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS u FROM t1
+), t3 AS (SELECT *, regexp_replace(u, '\p{{Lu}}+', '', 'g') AS v FROM t2
+), t4 AS (SELECT *, regexp_replace(v, '[0-9]+', '', 'g') AS x FROM t3
+), t5 AS (SELECT *, regexp_replace(x, '[.,;:?!''()-]+', '', 'g') AS y FROM t4
+), cls AS (
+  SELECT rid, doc_id, ref, text, w, len(w) AS n_words, [length(text) - length(t), length(t) - length(u), length(u) - length(v), length(v) - length(x), length(x) - length(y), length(y)] AS k FROM t5
+), lang AS (
+  SELECT ref, count(*) AS docs FROM cls GROUP BY ref ORDER BY docs DESC, ref LIMIT {LANGUAGES}
+), part AS (
+  SELECT ref, i, sum(k[i]) AS n FROM cls CROSS JOIN range(1, {N_CLASSES + 1}) t(i) GROUP BY ref, i
+), classes AS (
+  SELECT ref, i, n::DOUBLE / sum(n) OVER (PARTITION BY ref) AS q FROM (
+    SELECT * FROM part WHERE ref IN (SELECT ref FROM lang) UNION ALL SELECT '{POOL}', i, sum(n) FROM part GROUP BY i)
+), tok AS (
+  SELECT rid, ref, unnest(w) AS word FROM cls
+), cnt AS (
+  SELECT ref, word, count(*) AS n FROM tok GROUP BY ref, word
+), cnt2 AS (
+  SELECT * FROM cnt UNION ALL SELECT '{POOL}', word, sum(n) FROM cnt GROUP BY word
+), common AS (
+  SELECT ref, word, n::DOUBLE / sum(n) OVER (PARTITION BY ref) AS q, row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) AS place FROM cnt2
+), top AS (SELECT * FROM common WHERE place <= {COMMON}
+), pick AS (
+  SELECT rid, CASE WHEN ref IN (SELECT ref FROM lang) THEN ref ELSE '{POOL}' END AS r FROM cls
+), hits AS (
+  SELECT p.rid, p.r, t.place, t.q, count(k.word) AS n FROM pick p JOIN top t ON t.ref = p.r LEFT JOIN tok k ON k.rid = p.rid AND k.word = t.word GROUP BY ALL
+), bins AS (
+  SELECT rid, n::DOUBLE AS n, q FROM hits
+  UNION ALL
+  SELECT p.rid, c.n_words - coalesce(h.n, 0), greatest(0.0::DOUBLE, 1.0::DOUBLE - coalesce(h.q, 0.0::DOUBLE))
+  FROM pick p JOIN cls c USING (rid) LEFT JOIN (SELECT rid, sum(n) AS n, sum(q) AS q FROM hits GROUP BY rid) h USING (rid)
+), wd AS (
+  SELECT rid, sqrt(greatest(sum(
+      CASE WHEN n > 0 THEN 0.5::DOUBLE * (n / n_words) * log2(2.0::DOUBLE * (n / n_words) / (n / n_words + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN 0.5::DOUBLE * q * log2(2.0::DOUBLE * q / (n / n_words + q)) ELSE 0 END), 0.0::DOUBLE)) AS dist
+  FROM bins JOIN cls USING (rid) WHERE n_words > 0 GROUP BY rid
+), cd AS (
+  SELECT rid, sqrt(greatest(sum(
+      CASE WHEN p > 0 THEN 0.5::DOUBLE * p * log2(2.0::DOUBLE * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN 0.5::DOUBLE * q * log2(2.0::DOUBLE * q / (p + q)) ELSE 0 END), 0.0::DOUBLE)) AS dist
+  FROM (SELECT p.rid, c.q, s.k[c.i]::DOUBLE / list_sum(s.k) AS p FROM pick p JOIN cls s USING (rid) JOIN classes c ON c.ref = p.r WHERE list_sum(s.k) > 0)
+  GROUP BY rid
+), m AS (
+  SELECT cls.*, coalesce(list_sum(list_transform(w, lambda a: length(a))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda a: regexp_matches(a, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM cls LEFT JOIN rep USING (rid)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed
+         AND NOT (word_chars >= {MIN_CHARS} AND coalesce(cd.dist, 0) > {MAX_CLASS_DISTANCE})
+         AND NOT (n_words >= {MIN_WORDS} AND coalesce(wd.dist, 0) > {MAX_WORD_DISTANCE}) AS kept
+FROM b LEFT JOIN wd USING (rid) LEFT JOIN cd USING (rid)
+"""

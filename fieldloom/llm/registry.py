@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """Learned models, tokenizer merges, XXH64 and compression are beyond SQL; tests hold those queries against brute force."""
     return {
+        "op3_quality_rules": quality_rules.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
         "op6_mixing": mixing.SQL,
     }

@@ -21,10 +21,12 @@ component that has another id; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, id_and_text, record_batch, sliced
@@ -73,12 +75,31 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+@lru_cache(maxsize=4096)
+def position_vectors(radius: int, n: int) -> tuple[int, ...]:
+    """A non-zero vector of radius + 1 bits for each of n positions, such that no mask is nearly empty.
+
+    Few vectors are dealt out in turn; where there are more vectors than positions, the best of some seeded
+    random choices is taken, by the least number of positions in a mask.
+    """
+    top = 2 ** (radius + 1)
+    if top - 1 <= n:
+        return tuple(1 + k % (top - 1) for k in range(n))
+    v = np.arange(1, top)
+    best, least = None, -1
+    for seed in range(64):
+        chosen = np.random.default_rng(seed).choice(top - 1, n, replace=False) + 1
+        sizes = (np.bitwise_count(chosen[None, :] & v[:, None]) & 1).sum(axis=1)
+        if sizes.min() > least:
+            best, least = chosen, sizes.min()
+    return tuple(best.tolist())
+
+
 def covering_masks(radius: int, positions: list[int] | None = None) -> list[int]:
     """Masks of the tables, for differences within some bit positions (all 64 if not given)."""
     positions = list(range(64)) if positions is None else positions
-    top = 2 ** (radius + 1)
-    vector = {p: 1 + k % (top - 1) for k, p in enumerate(positions)}
-    return [sum(1 << p for p in positions if (vector[p] & v).bit_count() & 1) for v in range(1, top)]
+    vector = dict(zip(positions, position_vectors(radius, len(positions)), strict=True))
+    return [sum(1 << p for p in positions if (vector[p] & v).bit_count() & 1) for v in range(1, 2 ** (radius + 1))]
 
 
 def deep_masks(radius: int) -> dict[int, list[int]]:
@@ -158,20 +179,30 @@ def _bucket_rows(radius: int, split: int | None):
 
 def links(classes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """a, b (a > b): links that join the same fingerprints as all pairs within the radius do. classes: distinct fp."""
-    masks = covering_masks(radius)
+    masks = np.array([signed(m) for m in covering_masks(radius)], np.int64)
+    deeper = np.array([[signed(m) for m in ms] for ms in deep_masks(radius).values()], np.int64)
+
+    def dealt(rows: DataFrame, again: bool) -> DataFrame:
+        """t, key, fp: every fingerprint under every mask; in a second deal, under the masks of its table."""
+
+        def run(batches):
+            schema = pa.schema([("t", pa.int32()), ("key", pa.int64()), ("fp", pa.int64())])
+            for whole in batches:
+                for start in range(0, whole.num_rows, 1 << 12):
+                    batch = whole.slice(start, 1 << 12)
+                    fp = batch.column(0).to_numpy()
+                    own = deeper[batch.column(1).to_numpy()] if again else np.broadcast_to(masks, (len(fp), len(masks)))
+                    table = np.arange(len(masks)) + (batch.column(1).to_numpy()[:, None] * len(masks) if again else 0)
+                    keys = (fp[:, None] & own).ravel()
+                    yield record_batch(schema, [np.broadcast_to(table, own.shape).ravel().astype(np.int32), keys, np.repeat(fp, len(masks))])
 
-    def keyed(fp: Column, choices: list[tuple[int, int]]) -> Column:
-        return F.explode(F.array(*[F.struct(F.lit(t).cast("int").alias("t"), fp.bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for t, m in choices]))
+        return rows.mapInArrow(run, "t int, key long, fp long")
 
     def grouped(rows: DataFrame, limit: int | None) -> DataFrame:
         return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_rows(radius, limit), "t int, a long, b long")
 
-    first = classes.select("fp", keyed(F.col("fp"), list(enumerate(masks))).alias("x")).select("x.t", "x.key", "fp")
-    found = checkpointed(grouped(first, split))
-    deeper = [(t * 1000 + k, m) for t, ms in deep_masks(radius).items() for k, m in enumerate(ms)]
-    again = found.where("t >= 0").select(F.col("t").alias("t0"), F.col("a").alias("fp"))
-    again = again.select("t0", "fp", F.posexplode(F.array(*[F.array(*[F.lit(signed(m)).cast("long") for _, m in deeper[i * len(masks) : (i + 1) * len(masks)]]) for i in range(len(masks))])[F.col("t0")]).alias("k", "mask"))
-    second = grouped(again.select((F.col("t0") * 1000 + F.col("k")).cast("int").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), None)
+    found = checkpointed(grouped(dealt(classes.select("fp"), False), split))
+    second = grouped(dealt(found.where("t >= 0").select(F.col("a").alias("fp"), "t"), True), None)
     return found.where("t < 0").select("a", "b").unionByName(second.select("a", "b")).distinct()
 
 
