@@ -1,0 +1 @@
+"""Expressions: kernels, distances, special functions."""

@@ -1,0 +1 @@
+"""Options, registered queries and their SQL."""

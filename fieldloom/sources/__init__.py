@@ -1,0 +1 @@
+"""Point sources and log sinks."""

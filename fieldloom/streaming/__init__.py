@@ -1,0 +1 @@
+"""No operator of this engine is incremental; the nearest thing is the append-only run log in ``sources.runlog``."""
