@@ -8,8 +8,8 @@ agrees under that table's mask: no pair within the radius is missed.
 
 Inside a bucket of one table, members are grouped by breadth-first search and linked to the least member of
 their group, so that a bucket gives at most as many links as members. A bucket over ``SPLIT`` members is dealt
-out again under the same construction over its free positions; what is left then agrees in all but about 14
-positions, which bounds the members of a second bucket by 2**15 or so whatever the data.
+out again under the same construction over its free positions; for radius 3, what is left then agrees in all but
+16 positions at most, which bounds the members of a second bucket by 2**16 whatever the data.
 
 Components come from alternating large-star and small-star rounds, each a grouped minimum and a join, with a
 checkpoint after every round.

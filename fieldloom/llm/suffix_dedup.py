@@ -37,6 +37,8 @@ SYMBOLS = 2
 SHARD = 1 << 19
 CHUNK = 1 << 21
 SCAN = 1 << 20
+#: A longer text is scanned in sections, which overlap so that every window lies in one of them.
+SECTION = 1 << 26
 
 MULTIPLY = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -203,8 +205,16 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     def scan(batches):
         schema = pa.schema([("h", pa.int64()), ("row", pa.int64()), ("first", pa.int32()), ("windows", pa.int32())])
         for batch in sliced(batches, SCAN):
-            number, first, windows, h = anchor_runs([t.encode() for t in batch.column(1).to_pylist()], length, gram)
-            ids = batch.column(0).take(pa.array(number))
+            cut, own, base = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                raw = text.encode()
+                for start in range(0, max(1, len(raw) - length + 1), SECTION):
+                    cut.append(raw[start : start + SECTION + length - 1])
+                    own.append(k)
+                    base.append(start)
+            number, first, windows, h = anchor_runs(cut, length, gram)
+            ids = batch.column(0).take(pa.array(np.array(own, np.int64)[number]))
+            first = first + np.array(base, np.int64)[number]
             yield record_batch(schema, [h, ids, first.astype(np.int32), windows.astype(np.int32)])
 
     def shared(batches):

@@ -473,3 +473,16 @@ def test_native_queries_match_sql(spark, sf_dir, duck, name):
     from fieldloom.llm import registry
 
     assert_same_rows(registry.queries()[name](spark, sf_dir), duck.execute(registry.oracle_sql()[name]))
+
+
+def test_long_texts_are_scanned_in_sections(spark, docs, plain, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SECTION", 300)
+    runs = {}
+    for section in (300, 1 << 26):
+        monkeypatch.setattr(suffix_dedup, "SECTION", section)
+        found = suffix_dedup.repeated_spans(docs.select(F.col("doc_id").alias("row"), F.coalesce("text", F.lit("")).alias("text"), "doc_id"))
+        covered = defaultdict(set)
+        for r in found.collect():
+            covered[r["row"]] |= set(range(r["start"], r["stop"]))
+        runs[section] = covered
+    assert runs[300] == runs[1 << 26] and any(runs[300].values())
