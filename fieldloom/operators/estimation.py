@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.config import Options, bounds, initial_theta, unpack
 from . import blocks, likelihood, neighbors
@@ -115,6 +116,8 @@ class Prepared:
 
     table: DataFrame
     seconds: dict[str, float]
+    points: DataFrame  # scaled, with cid and ord
+    sizes: DataFrame  # n, m of every block
 
 
 def prepare(points: DataFrame, options: Options) -> Prepared:
@@ -135,13 +138,13 @@ def prepare(points: DataFrame, options: Options) -> Prepared:
     order.count()
     lap("blocking")
     near = neighbors.nearest_earlier(order, neighbors.with_order(assigned, order), o.m, o.distance_threshold_finer)
+    placed = neighbors.with_order(assigned, order)
     table = likelihood.block_table(blocks.unscaled(assigned, o.distance_scale), blocks.unscaled(near, o.distance_scale))
     table = table.coalesce(points.sparkSession.sparkContext.defaultParallelism).persist()
     table.count()
-    scaled.unpersist()
-    order.unpersist()
     lap("neighbours")
-    return Prepared(table, seconds)
+    sizes = table.select(F.size("py").alias("n"), F.size("ny").alias("m"))
+    return Prepared(table, seconds, placed, sizes)
 
 
 def fit(points: DataFrame, options: Options) -> tuple[Optimum, Prepared]:
@@ -152,7 +155,7 @@ def fit(points: DataFrame, options: Options) -> tuple[Optimum, Prepared]:
     low, high = bounds(o, theta0)
 
     def objective(theta: tuple[float, ...]) -> float:
-        value = likelihood.block_loglik(prepared.table, unpack(o, theta), o.kernel_type, o.precision).first()["loglik"]
+        value = likelihood.block_loglik(prepared.table, unpack(o, theta), o.kernel_type, o.precision, o.anchor_loc, o.anchor_val).first()["loglik"]
         log.info("theta %s loglik %s", theta, value)
         return float("-inf") if value is None or math.isnan(value) else value
 

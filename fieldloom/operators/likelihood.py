@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import coordinates, squared_distance
 from ..functions.kernels import kernel
+from ..functions.marginal import transform
 from ..plans.config import Theta
 
 LOG_2PI = math.log(2 * math.pi)
@@ -131,29 +132,42 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def block_sums(table: DataFrame, theta: Theta, kernel_type: str, dtype: str = "double") -> DataFrame:
-    """logdet, quad, n, failed: one row for each Arrow batch of blocks (partial sums)."""
+def block_sums(table: DataFrame, theta: Theta, kernel_type: str, dtype: str = "double", anchor: Sequence[float] = (), anchor_value: float = 0.0) -> DataFrame:
+    """logdet, quad, n, failed, extra: one row for each Arrow batch of blocks (partial sums).
+
+    With extremes parameters in theta, observations are transformed first; extra then holds the members' sums of
+    log f + y**2 / 2 - log b, each member once.
+    """
 
     def run(batches):
+        d = len(theta.ranges)
         for batch in batches:
-            sums = np.zeros(4)
+            sums = np.zeros(5)
             for px, py, nx, ny in zip(*[_arrays(batch.column(k)) for k in range(1, 5)], strict=True):
+                if theta.extremes:
+                    py, log_f, log_b = transform(px.reshape(-1, d), py, theta.extremes, tuple(anchor), anchor_value)
+                    ny = transform(nx.reshape(-1, d), ny, theta.extremes, tuple(anchor), anchor_value)[0]
+                    sums[4] += log_f.sum() + 0.5 * (py * py).sum() - log_b.sum()
                 logdet, quad, _, _, ok = block_terms(px, py, nx, ny, theta, kernel_type, dtype)
-                sums += (logdet, quad, len(py), not ok)
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], names=["logdet", "quad", "n", "failed"])
+                sums[:4] += (logdet, quad, len(py), not ok)
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], names=["logdet", "quad", "n", "failed", "extra"])
 
-    return table.select("cid", "px", "py", "nx", "ny").mapInArrow(run, "logdet double, quad double, n double, failed double")
+    return table.select("cid", "px", "py", "nx", "ny").mapInArrow(run, "logdet double, quad double, n double, failed double, extra double")
 
 
-def block_loglik(table: DataFrame, theta: Theta, kernel_type: str, dtype: str = "double") -> DataFrame:
-    """One row: n, logdet, quad, loglik, loglik_full, failed (blocks whose covariance is not positive definite)."""
-    sums = block_sums(table, theta, kernel_type, dtype).agg(*[F.sum(c).alias(c) for c in ("n", "logdet", "quad", "failed")])
-    value = F.when(F.col("failed") > 0, F.lit(float("-inf"))).otherwise(-0.5 * (F.col("logdet") + F.col("quad")))
-    return sums.select(F.col("n").cast("bigint").alias("n"), "logdet", "quad", value.alias("loglik"), (value - F.col("n") * (LOG_2PI / 2)).alias("loglik_full"), F.col("failed").cast("bigint").alias("failed"))
+def block_loglik(table: DataFrame, theta: Theta, kernel_type: str, dtype: str = "double", anchor: Sequence[float] = (), anchor_value: float = 0.0) -> DataFrame:
+    """One row: n, logdet, quad, loglik, loglik_full, failed (blocks whose covariance is not positive definite).
+
+    The extremes terms complete the constant, so that with them both values are the same exact log-density.
+    """
+    sums = block_sums(table, theta, kernel_type, dtype, anchor, anchor_value).agg(*[F.sum(c).alias(c) for c in ("n", "logdet", "quad", "failed", "extra")])
+    value = F.when(F.col("failed") > 0, F.lit(float("-inf"))).otherwise(-0.5 * (F.col("logdet") + F.col("quad")) + F.col("extra"))
+    full = value if theta.extremes else value - F.col("n") * (LOG_2PI / 2)
+    return sums.select(F.col("n").cast("bigint").alias("n"), "logdet", "quad", value.alias("loglik"), full.alias("loglik_full"), F.col("failed").cast("bigint").alias("failed"))
 
 
-def block_predictions(table: DataFrame, theta: Theta, kernel_type: str) -> DataFrame:
-    """cid, place, obs, mean, var of every member given its block's neighbours."""
+def block_predictions(table: DataFrame, theta: Theta, kernel_type: str, anchor: Sequence[float] = (), anchor_value: float = 0.0) -> DataFrame:
+    """cid, place, obs, mean, var of every member given its block's neighbours; under the extremes model all are latent values."""
 
     def run(batches):
         for batch in batches:
@@ -161,6 +175,9 @@ def block_predictions(table: DataFrame, theta: Theta, kernel_type: str) -> DataF
             for cid, px, py, nx, ny in zip(batch.column(0).to_pylist(), *[_arrays(batch.column(k)) for k in range(1, 5)], strict=True):
                 # each member alone, given the neighbours
                 d = len(theta.ranges)
+                if theta.extremes:
+                    py = transform(px.reshape(-1, d), py, theta.extremes, tuple(anchor), anchor_value)[0]
+                    ny = transform(nx.reshape(-1, d), ny, theta.extremes, tuple(anchor), anchor_value)[0]
                 for k in range(len(py)):
                     _, _, mean, var, ok = block_terms(px[k * d : (k + 1) * d], py[k : k + 1], nx, ny, theta, kernel_type)
                     for column, v in zip(out, (cid, k, float(py[k]), float(mean[0]) if ok else None, float(var[0]) if ok else None), strict=True):
