@@ -7,7 +7,7 @@ either comparison to count. Everything is DataFrame expressions.
 * Character classes: lower-case letters, white space, upper-case letters, digits, sentence punctuation, rest.
 * Common words: the ``COMMON`` most frequent words of the language in the whole table (ties: smaller word
   first), and one class for all other words.
-* The ``LANGUAGES`` largest languages have a reference of their own; others are compared with all documents.
+* The ``LANGUAGES`` largest languages have a reference of their own; all others share one.
 
 Repeated three-word windows are found without a shuffle: every window becomes one long, a truncated hash above
 its position; the longs are sorted as primitives, and only windows whose truncated hash occurs again are
@@ -23,19 +23,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, let
+from .common import WORD, checkpointed, documents, let
 
 COMMON = 20
 LANGUAGES = 256
 #: Largest distances that pass, and the least sizes at which a distance counts.
 MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.55
+MAX_WORD_DISTANCE = 0.32
 MIN_CHARS = 200
 MIN_WORDS = 100
 #: Patterns deleted one after the other; what a deletion removes is the class's count, the last class is the rest.
 CLASSES = (r"\p{Ll}+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"[0-9]+", r"[.,;:?!'()-]+")
 N_CLASSES = len(CLASSES) + 1
-#: References: the pool of all documents, and a prefix for those of languages.
+#: References: the one of all small languages, and a prefix for those of large ones.
 POOL, OWN = "*", "="
 
 
@@ -100,40 +100,39 @@ def shares(counts: list[Column], total: Column) -> Column:
     return F.array(*[F.when(total > 0, c / total).otherwise(F.lit(0.0)) for c in counts])
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """ref, classes (array of shares), common (array of words), common_shares of each language and of the pool."""
-    rows = docs.select(F.concat(F.lit(OWN), F.coalesce("lang", F.lit(""))).alias("ref"), "text")
-    classes = class_counts(F.col("text"))
-    each = rows.select("ref", classes.alias("k")).groupBy("ref").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(F.col("k")[i]).alias(f"k{i}") for i in range(N_CLASSES)])
-    words = rows.select("ref", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("ref", "word").agg(F.count(F.lit(1)).alias("n"))
-    own = each.orderBy(F.col("docs").desc(), "ref").limit(LANGUAGES)
-    pool = each.select(F.lit(POOL).alias("ref"), *[c for c in each.columns if c != "ref"]).groupBy("ref").agg(*[F.sum(c).alias(c) for c in each.columns if c != "ref"])
-    by_count = W.partitionBy("ref").orderBy(F.col("n").desc(), "word")
-    pooled_words = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("ref"), "word", "n")
-
-    def common_of(counted: DataFrame) -> DataFrame:
-        totals = counted.groupBy("ref").agg(F.sum("n").alias("total"))
-        top = counted.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= COMMON)
-        top = top.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
-        return totals.join(top, "ref").select("ref", F.transform("top", lambda x: x["word"]).alias("common"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("head"))
-
-    def most_of_pool(counted: DataFrame) -> DataFrame:
-        totals = counted.agg(F.sum("n").alias("total"))
-        top = counted.orderBy(F.col("n").desc(), "word").limit(COMMON).select("ref", F.struct(F.row_number().over(W.orderBy(F.col("n").desc(), "word")).alias("place"), "word", "n").alias("x"))
-        top = top.groupBy("ref").agg(F.sort_array(F.collect_list("x")).alias("top"))
-        return top.join(F.broadcast(totals)).select("ref", F.transform("top", lambda x: x["word"]).alias("common"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("head"))
-
-    common = common_of(words).unionByName(most_of_pool(pooled_words))
+def references(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, ref of languages with a reference of their own) and (ref, classes, common, common_shares of every reference).
+
+    Class counts are summed by language first, which leaves a row for each language; the texts of the languages
+    without a reference of their own then count together.
+    """
+    sums = [F.sum(F.col("k")[i]).alias(f"k{i}") for i in range(N_CLASSES)]
+    each = checkpointed(docs.select("lang", class_counts(F.col("text")).alias("k")).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *sums))
+    own = each.orderBy(F.col("docs").desc(), "lang").limit(LANGUAGES).select("lang", F.col("lang").alias("ref"))
     total = sum((F.col(f"k{i}") for i in range(1, N_CLASSES)), F.col("k0"))
-    found = own.unionByName(pool).select("ref", shares([F.col(f"k{i}") for i in range(N_CLASSES)], total).alias("classes")).join(common, "ref", "left")
+    classes = named(each, own).groupBy("ref").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(N_CLASSES)])
+    classes = classes.select("ref", shares([F.col(f"k{i}") for i in range(N_CLASSES)], total).alias("classes"))
+    words = named(docs, own).select("ref", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("ref", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("ref").orderBy(F.col("n").desc(), "word"))
+    top = words.withColumn("place", place).where(F.col("place") <= COMMON)
+    top = top.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
+    totals = words.groupBy("ref").agg(F.sum("n").alias("total"))
+    common = totals.join(top, "ref").select("ref", F.transform("top", lambda x: x["word"]).alias("common"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("head"))
     rest = F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate("head", F.lit(0.0), lambda a, x: a + x))
-    return found.select("ref", "classes", F.coalesce("common", F.array().cast("array<string>")).alias("common"), F.coalesce(F.concat("head", F.array(rest)), F.array(F.lit(1.0))).alias("common_shares"))
+    found = classes.join(common, "ref", "left").select("ref", "classes", F.coalesce("common", F.array().cast("array<string>")).alias("common"), F.coalesce(F.concat("head", F.array(rest)), F.array(F.lit(1.0))).alias("common_shares"))
+    return own, found
+
+
+def named(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """rows with ref; ``own`` has LANGUAGES rows at most."""
+    return rows.join(F.broadcast(own), "lang", "left").withColumn("ref", F.coalesce("ref", F.lit(POOL)))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and both distances (null: not compared)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    refs = references(docs)
+    lang = F.concat(F.lit(OWN), F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang"))
+    own, refs = references(docs)
     text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n_dup_lines = let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
@@ -147,7 +146,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
     measured = docs.select(
         "doc_id",
-        F.concat(F.lit(OWN), F.coalesce("lang", F.lit(""))).alias("lang"),
+        "lang",
         text,
         let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), counts).alias("c"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -156,11 +155,8 @@ def judged(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     measured = measured.withColumn("base_failed", failed)
 
-    # at most LANGUAGES + 1 rows of COMMON words each
-    known = F.broadcast(refs)
-    own = known.select(F.col("ref").alias("lang"), F.struct("classes", "common", "common_shares").alias("own"))
-    pool = known.where(F.col("ref") == POOL).select(F.struct("classes", "common", "common_shares").alias("pool"))
-    joined = measured.join(F.broadcast(own), "lang", "left").join(F.broadcast(pool), how="left").withColumn("r", F.coalesce("own", "pool"))
+    # at most LANGUAGES + 1 references of COMMON words each
+    joined = named(measured, own).join(F.broadcast(refs.select("ref", F.struct("classes", "common", "common_shares").alias("r"))), "ref", "left")
 
     classes = let(class_counts(text), lambda k: distance(k, F.greatest(F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1).cast("long")), F.col("r.classes")))
     # every word between spaces of its own, so that neighbours do not share one
@@ -183,8 +179,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, '{OWN}' || coalesce(lang, '') AS ref FROM documents
+WITH d0 AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, '{OWN}' || coalesce(lang, '') AS lang FROM documents
+), own AS (
+  SELECT lang, count(*) AS docs FROM d0 GROUP BY lang ORDER BY docs DESC, lang LIMIT {LANGUAGES}
+), d AS (
+  SELECT rid, doc_id, text, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '{POOL}' END AS ref FROM d0
 ), w AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d
 ), win AS (
@@ -199,24 +199,19 @@ WITH d AS (
 ), t5 AS (SELECT *, regexp_replace(x, '[.,;:?!''()-]+', '', 'g') AS y FROM t4
 ), cls AS (
   SELECT rid, doc_id, ref, text, w, len(w) AS n_words, [length(text) - length(t), length(t) - length(u), length(u) - length(v), length(v) - length(x), length(x) - length(y), length(y)] AS k FROM t5
-), lang AS (
-  SELECT ref, count(*) AS docs FROM cls GROUP BY ref ORDER BY docs DESC, ref LIMIT {LANGUAGES}
 ), part AS (
   SELECT ref, i, sum(k[i]) AS n FROM cls CROSS JOIN range(1, {N_CLASSES + 1}) t(i) GROUP BY ref, i
 ), classes AS (
-  SELECT ref, i, n::DOUBLE / sum(n) OVER (PARTITION BY ref) AS q FROM (
-    SELECT * FROM part WHERE ref IN (SELECT ref FROM lang) UNION ALL SELECT '{POOL}', i, sum(n) FROM part GROUP BY i)
+  SELECT ref, i, n::DOUBLE / sum(n) OVER (PARTITION BY ref) AS q FROM part
 ), tok AS (
   SELECT rid, ref, unnest(w) AS word FROM cls
 ), cnt AS (
   SELECT ref, word, count(*) AS n FROM tok GROUP BY ref, word
-), cnt2 AS (
-  SELECT * FROM cnt UNION ALL SELECT '{POOL}', word, sum(n) FROM cnt GROUP BY word
 ), common AS (
-  SELECT ref, word, n::DOUBLE / sum(n) OVER (PARTITION BY ref) AS q, row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) AS place FROM cnt2
+  SELECT ref, word, n::DOUBLE / sum(n) OVER (PARTITION BY ref) AS q, row_number() OVER (PARTITION BY ref ORDER BY n DESC, word) AS place FROM cnt
 ), top AS (SELECT * FROM common WHERE place <= {COMMON}
 ), pick AS (
-  SELECT rid, CASE WHEN ref IN (SELECT ref FROM lang) THEN ref ELSE '{POOL}' END AS r FROM cls
+  SELECT rid, ref AS r FROM cls
 ), hits AS (
   SELECT p.rid, p.r, t.place, t.q, count(k.word) AS n FROM pick p JOIN top t ON t.ref = p.r LEFT JOIN tok k ON k.rid = p.rid AND k.word = t.word GROUP BY ALL
 ), bins AS (
