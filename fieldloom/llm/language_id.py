@@ -86,49 +86,80 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Log frequencies of words and n-grams, a row of one number for each language."""
+    """Log frequencies of words and n-grams: a row of one number for each language, and each entry's row."""
 
     def __init__(self, langs: list[str], words: list[tuple], totals: dict[str, int], tables: dict[int, list[tuple]], gram_totals: dict[tuple[int, str], int]):
         self.langs = langs
-        self.words = self.table(words, totals)
-        self.grams = {k: self.table(rows, {lang: gram_totals.get((k, lang), 0) for lang in langs}) for k, rows in tables.items()}
-        self.cache: dict[str, np.ndarray] = {}
-
-    def table(self, rows: list[tuple], totals: dict[str, int]) -> dict[str, np.ndarray]:
+        self.words, self.word_rows = self.table(words, totals)
+        # an n-gram's length tells its order, so that one table holds all orders
+        self.grams: dict[str, int] = {}
+        rows = [np.zeros((0, len(langs)), np.float32)]
+        for k, found in tables.items():
+            at, own = self.table(found, {lang: gram_totals.get((k, lang), 0) for lang in langs})
+            first = len(self.grams)
+            self.grams |= {g: first + i for g, i in at.items()}
+            rows.append(own)
+        self.gram_rows = np.concatenate(rows)
+        self.index: dict[str, int] | None = None  # filled where texts are scored
+
+    def table(self, rows: list[tuple], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
         at = {lang: i for i, lang in enumerate(self.langs)}
-        counts: dict[str, np.ndarray] = {}
+        index: dict[str, int] = {}
+        for _, entry, _ in rows:
+            index.setdefault(entry, len(index))
+        counts = np.zeros((len(index), len(self.langs)))
         for lang, entry, n in rows:
-            counts.setdefault(entry, np.zeros(len(self.langs)))[at[lang]] = n
-        floor = SMOOTH * (len(counts) + 1)
+            counts[index[entry], at[lang]] = n
+        floor = SMOOTH * (len(index) + 1)
         norm = np.array([math.log(totals.get(lang, 0) + floor) for lang in self.langs])
-        return {entry: (np.log(n + SMOOTH) - norm).astype(np.float32) for entry, n in counts.items()}
-
-    def score_word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        for order in ORDERS:
-            table = self.grams.get(order, {})
-            known = [table[g] for g in grams(word, order) if g in table]
-            if known:
-                return np.mean(known, axis=0, dtype=np.float32)
-        return np.zeros(len(self.langs), np.float32)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs:
-            return UNKNOWN, 0.0
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        total = np.zeros(len(self.langs), np.float64)
-        for word, n in Counter(words).items():
-            row = cache.get(word)
-            if row is None:
-                row = cache[word] = self.score_word(word)
-            total += row * n
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+        return index, (np.log(counts + SMOOTH) - norm).astype(np.float32)
+
+    def reset(self) -> None:
+        """Forget the words met beside the model's."""
+        self.index, self.rows, self.used = dict(self.words), self.word_rows, len(self.words)
+
+    def meet(self, words: list[str]) -> None:
+        """Score words that are not in the model by the longest order of which any n-gram is."""
+        grams_of, ends, known = [], [0], self.grams
+        for word in words:
+            for order in ORDERS:
+                found = [known[g] for g in grams(word, order) if g in known]
+                if found:
+                    grams_of += found
+                    break
+            ends.append(len(grams_of))
+        counts = np.diff(ends)
+        scores = np.zeros((len(words), len(self.langs)), np.float32)
+        if grams_of:
+            some = counts > 0
+            sums = np.add.reduceat(self.gram_rows[np.array(grams_of)], np.array(ends[:-1])[some], axis=0)
+            scores[some] = sums / counts[some, None]
+        if self.used + len(words) > len(self.rows):
+            grown = np.zeros((2 * (self.used + len(words)), len(self.langs)), np.float32)
+            grown[: self.used] = self.rows[: self.used]
+            self.rows = grown
+        self.rows[self.used : self.used + len(words)] = scores
+        self.index.update(zip(words, range(self.used, self.used + len(words)), strict=True))
+        self.used += len(words)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        if self.index is None or self.used > len(self.words) + CACHE:
+            self.reset()
+        new = {w for words in found for w in words if w not in self.index}
+        if new:
+            self.meet(sorted(new))
+        out, index = [], self.index
+        for words in found:
+            if not words:
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.rows[np.array([index[w] for w in words])].sum(axis=0, dtype=np.float64)
+            best = int(np.argmax(total))
+            out.append((self.langs[best], float(1.0 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def learn(docs: DataFrame) -> Model:
@@ -157,7 +188,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
         own = shared.value
         for batch in sliced(batches):
-            found = [own.predict(t) for t in batch.column(1).to_pylist()]
+            found = own.predict(batch.column(1).to_pylist())
             yield record_batch(schema, [batch.column(0), [f[0] for f in found], [f[1] for f in found]])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
