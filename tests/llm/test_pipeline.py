@@ -59,3 +59,29 @@ def test_run_keeps_whole_documents(spark, sf_dir):
     import hashlib
 
     assert got and all(r["decoded_sha256"] == hashlib.sha256((source[r["doc_id"]] or "").encode()).hexdigest() and len(r["ids"]) == r["n_tokens"] for r in got)
+
+
+def test_near_copies_by_similarity(spark, sf_dir):
+    """Every pair of similarity 0.8 or more is linked, and nothing under it."""
+    import random
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(40)]
+    rows, expected = [], set()
+    for k, words in enumerate(base):
+        near, far = list(words), list(words)
+        for at in (20, 80, 140)[: 1 + k % 3]:
+            near[at] = "changed"
+        for at in range(10, 190, 18):
+            far[at] = "other"
+        rows += [(3 * k, words), (3 * k + 1, near), (3 * k + 2, far)]
+        expected |= {3 * k, 3 * k + 2}
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    for k in range(40):
+        a, b, c = (shingles(rows[3 * k + i][1]) for i in range(3))
+        assert len(a & b) >= 0.8 * len(a | b) and len(a & c) < 0.8 * len(a | c) and len(b & c) < 0.8 * len(b | c)
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in pipeline.near_dedup_stage(spark, docs, sf_dir).collect()} == expected
