@@ -33,7 +33,8 @@ ASSIGN_MARKS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE_MARKS = ("key", "secret", "token", "passw", "credential", "bearer", "authorization", "private")
 SENSITIVE = re.compile("(?ia)" + "|".join(SENSITIVE_MARKS))
 REACH = 80
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 AROUND = 256
 NOVEL = 0.6
 #: What code around secrets is made of: a candidate built of these costs the compressor little.
@@ -71,13 +72,22 @@ class Scanner:
         taken = iter(base)
         span = next(taken, None)
         for mark in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(done, mark.end()), min(len(text), mark.end() + REACH)):
+            # LEAST characters beyond the reach, so that all strings that start inside it are met
+            for m in CANDIDATE.finditer(text, max(done, mark.end()), min(len(text), mark.end() + REACH + LEAST)):
                 # whole strings only: the reach must not cut one
                 start, end = m.start(), m.end()
                 while end < len(text) and CANDIDATE_CHAR(text[end]):
                     end += 1
-                done = end
                 if start and CANDIDATE_CHAR(text[start - 1]):
+                    # the rest of a name: its value begins after the equals sign
+                    sign = text.find("=", start, end)
+                    start = end if sign < 0 else sign
+                    while start < end and text[start] == "=":
+                        start += 1
+                if start < end and start > mark.end() + REACH:
+                    break
+                done = end
+                if end - start < LEAST:
                     continue
                 while span and span[2] <= start:
                     span = next(taken, None)

@@ -333,6 +333,13 @@ def test_secret_base_spans(spark):
     assert secret_scan.scanned(no_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY=", "private_key=", "access-key=", "SECRET_" + "X" * 90 + "_KEY=", "key " + "of the house " * 6 + " ", "key" + " " * 80])
+def test_secret_values_of_names(name):
+    value = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY9"
+    text = f"set {name}{value} and go"
+    assert secret_scan.Scanner().added(text, []) == [(4 + len(name), 3, 4 + len(name) + len(value))]
+
+
 # -- 9
 
 
