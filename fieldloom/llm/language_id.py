@@ -4,8 +4,9 @@ Known words are scored by the logarithm of their frequency in each language. A w
 back to its character n-grams, from ``ORDERS[0]`` characters down: the longest order of which any n-gram is
 known decides, by the mean over the known ones. A document's score is the softmax of its words' summed logs.
 
-Counts cover all training documents and are summed by Spark; only the most frequent entries of the summed
-tables become the model, so its size has a fixed bound (``MAX_WORDS``, ``MAX_GRAMS``).
+Counts cover all training documents and are summed by Spark. Tables of up to ``MAX_WORDS`` and ``MAX_GRAMS`` rows
+are broadcast whole. Beyond that the most frequent words are broadcast, each with its counts in all languages, and all
+other words of a text meet the whole tables in joins, so that no count is cut.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text if nothing can
 be learned; ties go to the language that comes first by code point; repeated rows give repeated results; extra
@@ -16,19 +17,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, record_batch, sliced
+from .common import checkpointed, documents, fold, record_batch, sliced
 
 LETTERS = regex.compile(r"\p{L}+")
 ORDERS = (5, 4, 3, 2, 1)
-#: Entries of the model, over all languages: the most frequent words, and the most frequent n-grams of each order.
+#: Rows (one for each language) of words, and of n-grams of each order, up to which a model is broadcast whole.
 MAX_WORDS = 100_000
 MAX_GRAMS = 20_000
 SMOOTH = 0.5
@@ -162,26 +165,100 @@ class Model:
         return out
 
 
-def learn(docs: DataFrame) -> Model:
+@dataclass
+class Joined:
+    """Whole count tables that are too large to broadcast, and a model of the most frequent words."""
+
+    head: Model
+    words: DataFrame  # lang, word, n
+    grams: DataFrame  # lang, size, gram, n
+    word_norm: list[float]
+    gram_norms: dict[int, list[float]]
+
+
+def norms(langs: list[str], totals: dict[str, int], entries: int) -> list[float]:
+    return [math.log(totals.get(lang, 0) + SMOOTH * (entries + 1)) for lang in langs]
+
+
+def learn(docs: DataFrame) -> Model | Joined:
     """A model of all rows of ``docs`` that have a text and a lang."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    words = word_counts(rows).persist()
-    top_words = [tuple(r) for r in words.orderBy(F.col("n").desc(), "word", "lang").limit(MAX_WORDS).collect()]
+    words = checkpointed(word_counts(rows))
+    counted = checkpointed(gram_counts(words))
     totals = {r[0]: r[1] for r in words.groupBy("lang").agg(F.sum("n")).collect()}
-    counted = gram_counts(words).persist()
-    tables, sizes = {}, {}
-    for order in ORDERS:
-        own = counted.where(F.col("size") == order)
-        tables[order] = [tuple(r) for r in own.select("lang", "gram", "n").orderBy(F.col("n").desc(), "gram", "lang").limit(MAX_GRAMS).collect()]
-    for r in counted.groupBy("size", "lang").agg(F.sum("n")).collect():
-        sizes[(r[0], r[1])] = r[2]
-    words.unpersist()
-    counted.unpersist()
-    return Model(sorted(totals), top_words, totals, tables, sizes)
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+    sizes = {(r[0], r[1]): r[2] for r in counted.groupBy("size", "lang").agg(F.sum("n")).collect()}
+    lengths = {r[0]: r[1] for r in counted.groupBy("size").count().collect()}
+    langs = sorted(totals)
+    if words.count() <= MAX_WORDS and all(n <= MAX_GRAMS for n in lengths.values()):
+        tables = {k: [tuple(r) for r in counted.where(F.col("size") == k).select("lang", "gram", "n").collect()] for k in ORDERS}
+        return Model(langs, [tuple(r) for r in words.select("lang", "word", "n").collect()], totals, tables, sizes)
+    word_norm = norms(langs, totals, words.select("word").distinct().count())
+    distinct = {r[0]: r[1] for r in counted.select("size", "gram").distinct().groupBy("size").count().collect()}
+    gram_norms = {k: norms(langs, {lang: sizes.get((k, lang), 0) for lang in langs}, distinct.get(k, 0)) for k in ORDERS}
+    top = words.groupBy("word").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "word").limit(max(1, MAX_WORDS // len(langs)))
+    head = Model(langs, [tuple(r) for r in words.join(top, "word").select("lang", "word", "n").collect()], totals, {}, {})
+    # the head's rows under the norm of the whole table
+    own = np.array(norms(langs, totals, len(head.words)))
+    head.word_rows = (head.word_rows + own - np.array(word_norm)).astype(np.float32)
+    return Joined(head, words, counted, word_norm, gram_norms)
+
+
+def vectors(counts: DataFrame, key: str, langs: list[str], norm: list[float]) -> DataFrame:
+    """key, scores (one for each language) from rows (lang, key, n)."""
+    of = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    held = counts.groupBy(key).agg(of.alias("of"))
+    return held.select(key, F.array(*[F.log(F.coalesce(F.col("of")[lang], F.lit(0)) + SMOOTH) - v for lang, v in zip(langs, norm, strict=True)]).alias("scores"))
+
+
+def predict_joined(docs: DataFrame, model: Joined) -> DataFrame:
+    """The result of ``predict``, by joins of the words outside the head with the whole tables."""
+    shared, langs = docs.sparkSession.sparkContext.broadcast(model.head), model.head.langs
+
+    def run(batches):
+        own, row = shared.value, TaskContext.get().partitionId() << 40
+        pair = pa.struct([("word", pa.string()), ("n", pa.int64())])
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("total", pa.list_(pa.float64())), ("rare", pa.list_(pair))])
+        for batch in sliced(batches):
+            rows = []
+            for text in batch.column(1).to_pylist():
+                found = LETTERS.findall(text.lower()) if text else []
+                at = np.array([own.words[w] for w in found if w in own.words], np.int64)
+                rare = Counter(w for w in found if w not in own.words)
+                rows.append((row, len(found), own.word_rows[at].sum(axis=0, dtype=np.float64), [{"word": w, "n": n} for w, n in rare.items()]))
+                row += 1
+            if rows:
+                ids, sizes, total, rare = (list(c) for c in zip(*rows, strict=True))
+                yield record_batch(schema, [ids, batch.column(0), sizes, total, rare])
+
+    kinds = "row long, doc_id long, n_words long, total array<double>, rare array<struct<word:string,n:long>>"
+    base = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds))
+    rare = base.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n")
+    wanted = rare.select("word").distinct()
+    known = vectors(model.words.join(wanted, "word", "left_semi"), "word", langs, model.word_norm)
+    scores = known
+    rest = checkpointed(wanted.join(model.words.select("word"), "word", "left_anti"))
+    for k in ORDERS:
+        padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+        last = F.length(padded) - k + 1
+        cut = rest.where(last >= 1).select("word", F.explode(F.transform(F.sequence(F.lit(1), last), partial(gram_at, padded, F.lit(k)))).alias("x")).select("word", "x.gram")
+        table = model.grams.where(F.col("size") == k).select("lang", "gram", "n").join(cut.select("gram").distinct(), "gram", "left_semi")
+        met = cut.join(vectors(table, "gram", langs, model.gram_norms[k]), "gram").groupBy("word")
+        met = checkpointed(met.agg(F.array(*[F.avg(F.col("scores")[i]) for i in range(len(langs))]).alias("scores")))
+        scores = scores.unionByName(met)
+        rest = checkpointed(rest.join(met.select("word"), "word", "left_anti"))
+    sums = rare.join(scores, "word").groupBy("row").agg(F.array(*[F.sum(F.col("scores")[i] * F.col("n")) for i in range(len(langs))]).alias("more"))
+    both = base.join(sums, "row", "left").select("doc_id", "n_words", F.when(F.col("more").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda a, b: a + b)).alias("t"))
+    best = F.array_max("t")
+    lang = F.element_at(F.array(*map(F.lit, langs)), F.array_position("t", best).cast("int"))
+    score = 1.0 / F.aggregate("t", F.lit(0.0), lambda s, x: s + F.exp(x - best))
+    some = F.col("n_words") > 0
+    return both.select("doc_id", F.when(some, lang).otherwise(UNKNOWN).alias("lang_pred"), F.when(some, score).otherwise(0.0).alias("score"))
+
+
+def predict(docs: DataFrame, model: Model | Joined) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
+    if isinstance(model, Joined):
+        return predict_joined(docs, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

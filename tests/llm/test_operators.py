@@ -186,6 +186,20 @@ def test_language_counts_are_whole(spark, docs, plain):
     assert counts == dict(expected)
 
 
+def test_language_counts_are_not_cut(spark, docs, monkeypatch):
+    """Whole tables beyond what is broadcast give what one whole model gives."""
+    train = docs.where("doc_id % 3 <> 0")
+    monkeypatch.setattr(language_id, "MAX_WORDS", 10**7)
+    monkeypatch.setattr(language_id, "MAX_GRAMS", 10**7)
+    whole = rows_of(language_id.predict(docs, language_id.learn(train)))
+    monkeypatch.setattr(language_id, "MAX_WORDS", 60)
+    monkeypatch.setattr(language_id, "MAX_GRAMS", 50)
+    got = rows_of(language_id.predict(docs, language_id.learn(train)))
+    assert got.keys() == whole.keys() and {r["lang_pred"] for r in whole.values()} > {"und"}
+    for i, r in whole.items():
+        assert got[i]["lang_pred"] == r["lang_pred"] and got[i]["score"] == pytest.approx(r["score"], abs=1e-3)
+
+
 # -- 5
 
 
