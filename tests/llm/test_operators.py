@@ -454,19 +454,79 @@ def test_repeats_are_removed(spark, docs, plain):
     assert suffix_dedup.without_repeats(no_documents(spark)).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [1, 2, 4])
-def test_merge_of_shards(rounds):
-    rng = np.random.default_rng(8)
-    pieces = list(dict.fromkeys(bytes(rng.choice(list(b"ab"), rng.integers(8, 40)).astype(np.uint8)) for _ in range(60)))
-    counts = rng.integers(1, 3, len(pieces)).astype(float)
+def pieces_that_share(rng, alphabet: bytes) -> list[bytes]:
+    base = bytes(rng.choice(list(alphabet), 200).astype(np.uint8))
+    out = []
+    for _ in range(60):
+        a = rng.integers(0, 150)
+        part, own = base[a : a + rng.integers(8, 60)], bytes(rng.choice(list(alphabet), rng.integers(0, 20)).astype(np.uint8))
+        out.append(own + part if rng.random() < 0.5 else part + own)
+    return list(dict.fromkeys(out))
+
+
+def plain_windows(pieces: list[bytes], counts, length: int) -> list[list[int]]:
     seen: Counter = Counter()
     for p, c in zip(pieces, counts):
-        for k in range(len(p) - 7):
-            seen[p[k : k + 8]] += c
-    expected = [[k for k in range(len(p) - 7) if seen[p[k : k + 8]] >= 2] for p in pieces]
-    for shard in (16, 100, 10**6):
-        got = suffix_dedup.repeated_windows(pieces, counts, 8, rounds, shard)
-        assert [g.tolist() for g in got] == expected
+        for k in range(len(p) - length + 1):
+            seen[p[k : k + length]] += c
+    return [[k for k in range(len(p) - length + 1) if seen[p[k : k + length]] >= 2] for p in pieces]
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"abcdefgh", bytes(range(256))])
+@pytest.mark.parametrize("length", [8, 20])
+def test_merge_of_shards(alphabet, length):
+    rng = np.random.default_rng(8)
+    pieces = pieces_that_share(rng, alphabet)
+    counts = rng.integers(1, 3, len(pieces))
+    for shards in (1, 2, 4, 100):
+        got = suffix_dedup.repeated_windows(pieces, counts, length, shards)
+        assert [g.tolist() for g in got] == plain_windows(pieces, counts, length)
+
+
+def test_merge_carries_the_result(monkeypatch):
+    """What shards share is found by the merge alone, and from the shards' own orders: with them permuted it is lost."""
+    rng = np.random.default_rng(9)
+    pieces = pieces_that_share(rng, b"abcdefgh")
+    ones = np.ones(len(pieces), int)
+    expected = plain_windows(pieces, ones, 16)
+    assert sum(map(len, expected)) > 100
+    alone = suffix_dedup.repeated_windows(pieces, ones, 16, len(pieces))
+    assert [g.tolist() for g in alone] == expected  # one piece a shard: no shard repeats anything itself
+    whole = suffix_dedup.Shard
+
+    def scrambled(field):
+        def make(*args):
+            shard = whole(*args)
+            setattr(shard, field, np.random.default_rng(1).permutation(getattr(shard, field)))
+            return shard
+
+        return make
+
+    for field in ("order", "before", "leads"):
+        monkeypatch.setattr(suffix_dedup, "Shard", scrambled(field))
+        got = suffix_dedup.repeated_windows(pieces, ones, 16, 4)
+        assert [sorted(g.tolist()) for g in got] != expected
+    monkeypatch.setattr(suffix_dedup, "Shard", whole)
+    monkeypatch.setattr(suffix_dedup, "merge", lambda shards, length: (np.zeros(0, int), np.zeros(0, int)))
+    assert [g.tolist() for g in suffix_dedup.repeated_windows(pieces, ones, 16, 4)] != expected
+
+
+def test_shards_are_in_suffix_order():
+    rng = np.random.default_rng(10)
+    pieces = pieces_that_share(rng, b"ab")
+    shard = suffix_dedup.Shard(pieces, 8)
+    suffixes = sorted((p[k:], i, k) for i, p in enumerate(pieces) for k in range(len(p) + 1))
+    starts = shard.start
+    # a terminator is less than any symbol, as the end of bytes is; equal suffixes go by piece
+    assert shard.order.tolist() == [starts[i] + k for _, i, k in suffixes]
+    assert shard.before.tolist() == [pieces[i][k - 1] if k else 256 for _, i, k in suffixes]
+
+
+def test_hot_anchors_are_dealt_by_window(spark, docs, plain):
+    raws = {i: (r["text"] or "").encode() for i, r in plain.items()}
+    for hot in (1, 3):
+        got = rows_of(suffix_dedup.without_repeats(docs, hot=hot))
+        assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == plain_removal(raws, 200)
 
 
 def test_null_ids_and_repeated_rows(spark):
@@ -497,13 +557,7 @@ def test_native_queries_match_sql(spark, sf_dir, duck, name):
 
 
 def test_long_texts_are_scanned_in_sections(spark, docs, plain, monkeypatch):
+    raws = {i: (r["text"] or "").encode() for i, r in plain.items()}
     monkeypatch.setattr(suffix_dedup, "SECTION", 300)
-    runs = {}
-    for section in (300, 1 << 26):
-        monkeypatch.setattr(suffix_dedup, "SECTION", section)
-        found = suffix_dedup.repeated_spans(docs.select(F.col("doc_id").alias("row"), F.coalesce("text", F.lit("")).alias("text"), "doc_id"))
-        covered = defaultdict(set)
-        for r in found.collect():
-            covered[r["row"]] |= set(range(r["start"], r["stop"]))
-        runs[section] = covered
-    assert runs[300] == runs[1 << 26] and any(runs[300].values())
+    got = rows_of(suffix_dedup.without_repeats(docs))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == plain_removal(raws, 200)
