@@ -12,8 +12,12 @@ total size by weight; no target exceeds ``cap`` times its source's size. Capping
 above has a closed form: with sources by cap / weight, the level is the largest (total - caps before) /
 (weights from here on), and a target is the smaller of its cap and level * weight.
 
-Defined results: a null text has size 0; an empty table gives no rows; a source of size 0 has target 0;
-repeated rows are ordered by (key, id, size) and rows equal in those are interchangeable; extra columns are
+Sums over sources (a row each) run in one task; everything else is dealt by source and range.
+
+Defined results: an empty table gives no rows; a null text has size 0 and is never taken; a source of size 0 has
+target 0; a null source is a source; rows without an id get their key from the text; ties in the key are ordered by
+(id, size), and by a hash of all columns where rows are returned; repeated rows count and are taken one by one; very
+long texts may be cut inside, and are whole rows in :func:`mixed_rows`; extra columns, whatever their names, are
 ignored by :func:`mixture` and kept by :func:`mixed_rows`.
 """
 
@@ -30,6 +34,7 @@ SHARE = 1.5
 CAP = 2
 #: Leading hexadecimal digits of the key that make a range: 16**3 ranges a source.
 RANGE_DIGITS = 3
+EPSILON = 1e-6
 
 
 def word_count(text: Column) -> Column:
@@ -53,36 +58,57 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    # id, source and size only: a few bytes a document, so that the texts are read once
-    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
-    rows = rows.select("*", key.alias("key"), F.substring(key, 1, RANGE_DIGITS).alias("range"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name"))
+def keyed(docs: DataFrame, *extra: Column) -> DataFrame:
+    """doc_id, source, size, key, range, name and the extra columns of every row; rows without an id get their key from the text."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key"), name.alias("name"), *extra)
+    return rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+
+
+def range_starts(rows: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
+    """name, range, start (words of the source before the range), source_size, target."""
     ranges = rows.groupBy("name", "source", "range").agg(F.sum("size").alias("in_range"))
     sizes = ranges.groupBy("name", "source").agg(F.sum("in_range").alias("source_size"))
     targets = source_targets(sizes.select("source", "source_size"), weights, share, cap)
     targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("name"), "source_size", "target")
     in_order = W.partitionBy("name").orderBy("range")
-    starts = ranges.select("name", "range", (F.sum("in_range").over(in_order) - F.col("in_range")).alias("start")).join(targets, "name")
-    place = W.partitionBy("name", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    size, budget = F.col("size"), F.floor("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    return ranges.select("name", "range", (F.sum("in_range").over(in_order) - F.col("in_range")).alias("start")).join(targets, "name")
+
+
+def cut(rows: DataFrame, starts: DataFrame, *ties: str) -> DataFrame:
+    """``rows`` with source_size, target and taken."""
+    place = W.partitionBy("name", "range").orderBy("key", "doc_id", "size", *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+    size = F.col("size")
+    # sums of doubles may fall short of a whole target by less than EPSILON
+    budget = F.floor(F.col("target") + EPSILON).cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor((F.col("target") + EPSILON) / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - F.col("epochs") * F.col("source_size")
     return (
         rows.join(starts, ["name", "range"])
         .withColumn("before", F.col("start") + F.sum("size").over(place) - size)
         .withColumn("epochs", epochs)
-        .select("doc_id", "size", "source_size", "target", (F.col("epochs") * size + F.greatest(F.lit(0), F.least(size, rest - F.col("before")))).cast("long").alias("taken"))
+        .withColumn("taken", (F.col("epochs") * size + F.greatest(F.lit(0), F.least(size, rest - F.col("before")))).cast("long"))
     )
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of the mix, repeated as often as it takes them; a document taken in part is a whole row."""
-    plan = mixture(docs).select(F.col("doc_id").alias("_mixed_id"), F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int").alias("_times")).where("_times > 0")
-    joined = docs.join(plan, docs["doc_id"].cast("long") == plan["_mixed_id"])
-    copies = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
-    return copies.drop("_copy")
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row."""
+    # id, source, size and key only: a few bytes a document, so that the texts are read once
+    rows = checkpointed(keyed(docs))
+    return cut(rows, range_starts(rows, weights, share, cap)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The rows of the mix, repeated as often as it takes them; a document taken in part is a whole row.
+
+    Every row goes through the cut itself, with its columns in a struct, so that no row is found again by its id.
+    """
+    starts = range_starts(checkpointed(keyed(docs)), weights, share, cap)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = cut(keyed(docs, F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("tie")), starts, "tie")
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    return rows.select("row", times.alias("times")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +117,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents
 ), s AS (
@@ -112,10 +138,10 @@ WITH d AS (
 ), p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before,
-         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs
+         CASE WHEN t.source_size > 0 THEN floor((t.target + 1e-6::DOUBLE) / t.source_size)::BIGINT ELSE 0 END AS epochs
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - before)))::BIGINT AS taken
+       (epochs * size + greatest(0, least(size, floor(target + 1e-6::DOUBLE)::BIGINT - epochs * source_size - before)))::BIGINT AS taken
 FROM p
 """
