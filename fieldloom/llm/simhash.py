@@ -12,11 +12,12 @@ out again under the same construction over its free positions; for radius 3, wha
 16 positions at most, which bounds the members of a second bucket by 2**16 whatever the data.
 
 Components come from alternating large-star and small-star rounds, each a grouped minimum and a join, with a
-checkpoint after every round.
+checkpoint after every round. Hot fingerprints, components and hubs are joined by broadcast.
 
-Defined results: a null or empty text has the fingerprint zero and is linked like any other; texts with fewer
-words than a shingle take their whole word sequence; repeated rows share a class; null ids never name a
-component that has another id; extra columns are ignored.
+Defined results: an empty table gives no rows; a null or empty text has the fingerprint zero and is linked like
+any other; texts with fewer words than a shingle take their whole word sequence; a very long text is voted on in
+parts of 4,096 shingles; a bit that is set in exactly half of the hashes is 0; repeated rows share a class; null
+ids never name a component that has another id; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, id_and_text, record_batch, sliced
+from .common import checkpointed, documents, id_and_text, joined_by_key, record_batch, sliced
 
 SHINGLE = 3
 RADIUS = 3
@@ -219,11 +220,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         # large star: a node's larger neighbours move to its least neighbour (or to itself)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = joined_by_key(both, least, ["a"], "n", F.xxhash64("a", "b"), 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours move to the least of them
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        moved = joined_by_key(large, smallest, ["a"], "n", F.xxhash64("a", "b"), 2 * before[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpointed(moved.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct())
         after = state(edges)
         if after == before:
@@ -234,21 +235,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def named_components(rows: DataFrame, classes: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``rows`` with component_id, the least id of their component; null ids only name components without another.
+
+    rows: (.., key); classes: (key, least_id, n) with n rows each; roots: (node, root) of the classes that have a link.
+    """
+    placed = checkpointed(classes.join(roots, F.col(key) == F.col("node"), "left").select(key, "least_id", "n", "root"))
+    linked = placed.where(F.col("root").isNotNull())
+    sizes = checkpointed(linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    named = joined_by_key(linked.select("root", key, "n"), sizes, ["root"], "members", F.xxhash64(key)).select(key, "component_id", "n")
+    named = checkpointed(named.unionByName(placed.where(F.col("root").isNull()).select(key, F.col("least_id").alias("component_id"), "n")))
+    return joined_by_key(rows, named, [key], "n", F.xxhash64("doc_id")).drop("n")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row."""
     rows = checkpointed(fingerprints(docs, words))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
     roots = components(links(classes.select("fp"), radius, split))
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(F.col("fp").alias("class_fp"), "component_id")
-    return rows.join(named, rows["fp"] == named["class_fp"], "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with the least id of their component, with all their columns."""
-    found = near_duplicates(docs, words, radius)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped_id"))
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped_id"], "left_anti")
+    found = named_components(rows, classes, roots, "fp")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
