@@ -1,16 +1,22 @@
 """Toxicity: a counterfactually regularised classifier.
 
 A document is its distinct lower-case words; a word stands for itself and for its prefixes of 4 to 6 letters,
-hashed. A logistic model over the features that differ between the classes is trained with two losses: the
-usual one, and the squared change of the score when every identity term of a labelled text is swapped for
-another term of its group. Neutral mentions of a group thereby stop moving the score.
+hashed. A logistic model over the features that differ between the classes is trained with two losses: the usual
+one, and the squared change of the score when every identity term of a labelled sentence is swapped, once for another
+term of its group and once for a word that says nothing. Neutral mentions of a group thereby stop moving the score.
+
+Every labelled text has a counterpart, whatever the corpus: a text without identity terms gets one of them (by a hash
+of its words), and its counterpart another of the same group. Neutral sentences made from ``TEMPLATES`` with every term
+are clean rows of their own, which weigh ``TEMPLATE_SHARE`` of the labelled rows together.
 
 The model is fitted on at most ``MAX_ROWS`` labelled rows, those with the least hash of their id, so training
 size does not follow the table; scoring reads every whole text.
 
-Defined results: a null or empty text has the score of the bias alone; labels whose document is missing or
-whose value is null are left out; without labelled rows of both classes every score is the share of toxic
-rows, or 0; repeated rows give repeated results; extra columns are ignored.
+Defined results: an empty table gives no rows; a null or empty text has the score of the bias alone; a very long text
+is the set of all its words; labels whose document is missing or whose value is null are left out; ties in the hash of
+the id go by id and label; without labelled rows of both classes every score is the share of toxic rows, or 0; scores of
+the threshold itself are toxic; rows are judged one by one, so that null ids, repeated ids and repeated rows change
+nothing; extra columns, whatever their names, are ignored, and kept by :func:`without_toxic`.
 """
 
 from __future__ import annotations
@@ -27,9 +33,9 @@ from .common import documents, fold, id_and_text, labels, record_batch, sliced
 
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_ROWS = 12_000
-BITS = 20
+BITS = 22
 MIN_DOCS = 3
-MAX_FEATURES = 20_000
+SWAP_WEIGHT = 1.0
 THRESHOLD = 0.3
 WORDS = regex.compile(r"\p{L}+")
 PREFIXES = (4, 5, 6)
@@ -45,6 +51,9 @@ IDENTITY_GROUPS = (
     ("frauen", "männer", "mujeres", "hombres", "femmes", "hommes"),
 )
 NEXT_TERM = {term: group[(i + 1) % len(group)] for group in IDENTITY_GROUPS for i, term in enumerate(group)}
+TERMS = tuple(NEXT_TERM)
+TEMPLATES = ("the {} went to the market in the morning", "many {} live in this town", "she met {} at the library and they talked about music", "some {} work here")
+TEMPLATE_SHARE = 0.02
 #: Words whose weight a worker keeps; a full cache is emptied, which changes no result.
 CACHE = 500_000
 
@@ -65,11 +74,35 @@ def swapped(words: set[str]) -> set[str] | None:
     return {NEXT_TERM.get(w, w) for w in words}
 
 
+def counterfactual(words: set[str]) -> tuple[set[str], set[str], set[str]]:
+    """The words, holding an identity term; with every such term swapped for another; and without them."""
+    if (other := swapped(words)) is not None:
+        return words, other, {w for w in words if w not in NEXT_TERM}
+    term = TERMS[zlib.crc32(" ".join(sorted(words)).encode()) % len(TERMS)]
+    return words | {term}, words | {NEXT_TERM[term]}, words
+
+
 def counted(words: set[str]) -> tuple[list[int], list[int]]:
     ids, n = np.unique(np.array([f for w in words for f in feature_ids(w)], np.int32), return_counts=True)
     return ids.tolist(), n.tolist()
 
 
+def change(own: set[str], other: set[str]) -> tuple[list[int], list[int]]:
+    """Features whose counts a swap changes, and by how much."""
+    found: dict[int, int] = {}
+    for words, sign in ((other - own, 1), (own - other, -1)):
+        for f in (f for w in words for f in feature_ids(w)):
+            found[f] = found.get(f, 0) + sign
+    kept = sorted(f for f, n in found.items() if n)
+    return kept, [found[f] for f in kept]
+
+
+def training_row(y: int, words: set[str]) -> tuple:
+    """y, ids and counts of the features, and the changes of both swaps."""
+    own, *others = counterfactual(words)
+    return y, *counted(own), *[x for other in others for x in change(own, other)]
+
+
 def labelled_sample(docs: DataFrame, truth: DataFrame, label: str, allowed: Column, limit: int) -> DataFrame:
     """doc_id, y, text of the allowed labelled rows with the least hash of their id, ``limit`` at most."""
     known = truth.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -98,13 +131,12 @@ class Classifier:
         return float(1.0 / (1.0 + np.exp(-np.clip(total, -30.0, 30.0))))
 
 
-def fit(rows: list[tuple], epochs: int = 40, rate: float = 0.3, ridge: float = 1e-4, swap_weight: float = 1.0) -> Classifier:
-    """rows: (y, ids, counts, swapped ids, swapped counts); the last two are empty where no identity term occurs."""
+def fit(rows: list[tuple], epochs: int = 40, rate: float = 0.3, ridge: float = 1e-4, swap_weight: float = SWAP_WEIGHT) -> Classifier:
+    """rows: :func:`training_row` of every labelled text; the neutral sentences are added here."""
     y = np.array([r[0] for r in rows], np.float64)
-    none = np.zeros(0, np.int32)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return Classifier(float(np.log((share + 1e-12) / (1 - share + 1e-12))), none, np.zeros(0))
+        return Classifier(float(np.log((share + 1e-12) / (1 - share + 1e-12))), np.zeros(0, np.int32), np.zeros(0))
     size = 1 << BITS
     there = np.zeros((2, size), np.int32)
     for label, ids, *_ in rows:
@@ -112,36 +144,39 @@ def fit(rows: list[tuple], epochs: int = 40, rate: float = 0.3, ridge: float = 1
     n = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
     odds = np.log((there[1] + 0.5) / (n[1] + 1)) - np.log((there[0] + 0.5) / (n[0] + 1))
     z = odds / np.sqrt(1.0 / (there[1] + 0.5) + 1.0 / (there[0] + 0.5))
-    useful = np.flatnonzero((there.sum(0) >= MIN_DOCS) & (np.abs(z) >= 2.5) & (np.abs(odds) >= 0.7))
-    useful = np.sort(useful[np.argsort(-np.abs(z[useful]), kind="stable")[:MAX_FEATURES]])
+    telling = (there.sum(0) >= MIN_DOCS) & (np.abs(z) >= 2.5) & (np.abs(odds) >= 0.7)
+    # identity terms are features in any case, so that their influence is seen and regularised
+    telling[[f for term in TERMS for f in feature_ids(term)]] = True
+    useful = np.flatnonzero(telling)
     column = np.full(size, -1, np.int32)
     column[useful] = np.arange(len(useful))
+    neutral = [training_row(0, words_of(t.format(term))) for t in TEMPLATES for term in TERMS]
+    weight = np.concatenate([np.full(len(rows), 1.0), np.full(len(neutral), TEMPLATE_SHARE * len(rows) / len(neutral))])
+    weight /= weight.sum()
+    rows = [*rows, *neutral]
+    y = np.concatenate([y, np.zeros(len(neutral))])
 
     def sparse(which: int):
         row, col, val = [], [], []
         for k, r in enumerate(rows):
-            c = column[np.asarray(r[which], np.int64)] if len(r[which]) else none
+            c = column[np.asarray(r[which], np.int64)]
             keep = c >= 0
             row.append(np.full(int(keep.sum()), k))
             col.append(c[keep])
-            val.append(np.asarray(r[which + 1], np.float64)[keep] if len(c) else np.zeros(0))
+            val.append(np.asarray(r[which + 1], np.float64)[keep])
         return np.concatenate(row), np.concatenate(col), np.concatenate(val)
 
     r0, c0, v0 = sparse(1)
-    r1, c1, v1 = sparse(3)
-    has_swap = np.array([len(r[3]) > 0 for r in rows])
-    # the change a swap makes, as one sparse difference: x' - x on rows that have a counterpart
-    keep = has_swap[r0]
-    rd, cd, vd = np.concatenate([r0[keep], r1]), np.concatenate([c0[keep], c1]), np.concatenate([-v0[keep], v1])
+    changes = [sparse(3), sparse(5)]  # x' - x
     w, b = np.zeros(len(useful)), float(np.log(n[1] / n[0]))
     m, s, mb, sb = np.zeros(len(useful)), np.zeros(len(useful)), 0.0, 0.0
     for t in range(1, epochs * 10 + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(r0, v0 * w[c0], len(y)), -30, 30)))
-        g = (p - y) / len(y)
+        g = (p - y) * weight
         grad = np.bincount(c0, v0 * g[r0], len(useful)) + ridge * w
-        if len(rd):
-            change = np.bincount(rd, vd * w[cd], len(y))
-            grad += 2 * swap_weight / len(y) * np.bincount(cd, vd * change[rd], len(useful))
+        for rd, cd, vd in changes:
+            moved = np.bincount(rd, vd * w[cd], len(y)) * weight
+            grad += 2 * swap_weight * np.bincount(cd, vd * moved[rd], len(useful))
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         mb, sb = 0.9 * mb + 0.1 * g.sum(), 0.999 * sb + 0.001 * g.sum() ** 2
         step = rate * 0.2 / (1 + t / 100)
@@ -150,23 +185,20 @@ def fit(rows: list[tuple], epochs: int = 40, rate: float = 0.3, ridge: float = 1
     return Classifier(float(b), useful, w)
 
 
-def train(docs: DataFrame, truth: DataFrame, allowed: Column, limit: int = MAX_ROWS) -> Classifier:
+def train(docs: DataFrame, truth: DataFrame, allowed: Column, limit: int = MAX_ROWS, swap_weight: float = SWAP_WEIGHT) -> Classifier:
     """A classifier from the allowed labelled rows; features are made where the texts are, and only they are collected."""
 
     def features(batches):
-        schema = pa.schema([("y", pa.int32()), ("a", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("sa", pa.list_(pa.int32())), ("sn", pa.list_(pa.int32()))])
+        schema = pa.schema([("y", pa.int32()), *[(name, pa.list_(pa.int32())) for name in names]])
         for batch in sliced(batches, size_column="text"):
-            out = []
-            for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = words_of(text)
-                other = swapped(words)
-                out.append((y, *counted(words), *(counted(other) if other else ([], []))))
-            yield record_batch(schema, [list(c) for c in zip(*out, strict=True)] if out else [[]] * 5)
+            out = [training_row(y, words_of(text)) for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield record_batch(schema, [list(c) for c in zip(*out, strict=True)] if out else [[]] * 7)
 
+    names = ("a", "n", "swapped_a", "swapped_n", "without_a", "without_n")
     sample = labelled_sample(docs, truth, "toxic", allowed, limit)
-    found = sample.mapInArrow(features, "y int, a array<int>, n array<int>, sa array<int>, sn array<int>").toArrow()
-    columns = [[x.values.to_numpy()[a:b] for chunk in found.column(k).chunks for x, ends in [(chunk, chunk.offsets.to_numpy())] for a, b in zip(ends[:-1], ends[1:], strict=True)] for k in range(1, 5)]
-    return fit(list(zip(found.column(0).to_pylist(), *columns, strict=True)))
+    found = sample.mapInArrow(features, "y int, " + ", ".join(f"{name} array<int>" for name in names)).toArrow()
+    columns = [[x.values.to_numpy()[a:b] for chunk in found.column(k).chunks for x, ends in [(chunk, chunk.offsets.to_numpy())] for a, b in zip(ends[:-1], ends[1:], strict=True)] for k in range(1, 7)]
+    return fit(list(zip(found.column(0).to_pylist(), *columns, strict=True)), swap_weight=swap_weight)
 
 
 def scored(docs: DataFrame, classifier: Classifier) -> DataFrame:

@@ -98,8 +98,7 @@ def test_swaps_lose_their_influence():
     for i in range(200):
         y = int(i % 2)
         words = {"muslim" if y else "christian", "foul" if rng.random() < (0.9 if y else 0.1) else "fair", *map(str, rng.choice(["a", "b", "c", "d"], 2))}
-        other = toxicity.swapped(words)
-        rows.append((y, *toxicity.counted(words), *toxicity.counted(other)))
+        rows.append(toxicity.training_row(y, words))
     free = toxicity.fit(rows, swap_weight=0.0)
     bound = toxicity.fit(rows, swap_weight=20.0)
     gap = [abs(m.score("muslim") - m.score("jewish")) for m in (free, bound)]
@@ -107,6 +106,54 @@ def test_swaps_lose_their_influence():
     assert toxicity.swapped({"plain"}) is None
 
 
+def test_counterfactuals_clear_neutral_mentions(spark):
+    """A term that toxic rows mention often: neutral mentions are flagged without the swaps, and not with them."""
+    rng = np.random.default_rng(3)
+    common = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    rows, truth = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = list(rng.choice(common, 12))
+        if bad and rng.random() < 0.7:
+            words[0] = "vile"
+        if rng.random() < (0.8 if bad else 0.03):
+            words[1] = "muslim"
+        rows.append((i, " ".join(words)))
+        truth.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), labelled(spark, "toxic", truth)
+    neutral = [" ".join([*rng.choice(common, 11), "muslim"]) for _ in range(100)]
+    flagged, caught = {}, {}
+    for weight in (0.0, toxicity.SWAP_WEIGHT, 20.0):
+        model = toxicity.train(docs, labels, F.lit(True), swap_weight=weight)
+        flagged[weight] = sum(model.score(t) >= toxicity.THRESHOLD for t in neutral)
+        caught[weight] = sum(model.score(t.replace("muslim", "vile")) >= toxicity.THRESHOLD for t in neutral)
+    assert flagged[0.0] > 50 and flagged[toxicity.SWAP_WEIGHT] < 0.5 * flagged[0.0] and flagged[20.0] < 0.5 * flagged[0.0]
+    assert min(caught.values()) >= 90
+
+
+def test_swaps_act_on_any_corpus(spark, sf_dir):
+    """The tables hold no identity terms, and yet the second loss is there: scores depend on its weight, and terms weigh less."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    free, bound = (toxicity.train(docs, labels, F.lit(True), swap_weight=w) for w in (0.0, toxicity.SWAP_WEIGHT))
+    gap = [np.mean([abs(m.score(a) - m.score(b)) for a, b in toxicity.NEXT_TERM.items()]) for m in (free, bound)]
+    assert gap[1] < 0.5 * gap[0]
+    text = docs.where("length(text) > 200").first()["text"]
+    assert free.score(text) != bound.score(text)
+
+
+def test_toxicity_scores_by_brute_force(spark, docs, plain, sf_dir):
+    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    got = rows_of(toxicity.scored(docs, model))
+    import regex
+
+    for i, r in plain.items():
+        total = model.bias
+        for word in set(regex.findall(r"\p{L}+", (r["text"] or "").lower())):
+            for name in [f"={word}", *(f"{k}{word[:k]}" for k in (4, 5, 6) if len(word) >= k)]:
+                total += model.weights.get(zlib.crc32(name.encode()) >> (32 - toxicity.BITS), 0.0)
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+
+
 def test_toxicity_edges(spark, docs):
     nothing = labelled(spark, "toxic", [])
     got = rows_of(toxicity.scored(docs, toxicity.train(docs, nothing, F.lit(True))))
