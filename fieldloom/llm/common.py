@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from contextlib import suppress
 from functools import reduce
 
 import pyarrow as pa
@@ -56,6 +58,14 @@ def joined_by_key(rows: DataFrame, table: DataFrame, keys: list[str], size: str,
     return both.select(*[F.col(c) for c in rows.columns], *[F.when(F.col(f"hot_{size}").isNotNull(), F.col(f"hot_{c}")).otherwise(F.col(f"cold_{c}")).alias(c) for c in values])
 
 
+#: Slots of a table of flags: what is broadcast has so many rows at most, whatever the data.
+SLOTS = 1 << 20
+
+
+def slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
 def one_row_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``key`` and ``row`` (a struct of ``columns``): of the rows of each key the one with the least doc_id, null last.
 
@@ -106,8 +116,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give a worker's free memory back to the system, so that stages that follow each other do not add up."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliced(batches, max_bytes: int = 4 << 20, size_column: str = "text"):
     """Cut Arrow batches so that a slice holds about ``max_bytes`` of text (one row at least)."""
+    yield from _slices(batches, max_bytes, size_column)
+    release()
+
+
+def _slices(batches, max_bytes: int, size_column: str):
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(size_column))
         rows, step = batch.num_rows, 1

@@ -1,7 +1,7 @@
 """Exact deduplication: group by a 128-bit content hash, compare the bytes inside groups, keep one stable id.
 
 Hashes are counted first; only texts whose hash may occur again go on. To tell these, the repeated hashes set
-flags in a table of ``SLOTS`` slots, which is broadcast (its size is bounded; where it fills up, more texts go on,
+flags in a table of ``common.SLOTS`` slots, which is broadcast (its size is bounded; where it fills up, more texts go on,
 with the same result). They are grouped by (hash, text) with a map-side combine, so that a group of copies
 leaves every map task as one row, and texts that only share the hash stay apart: their bytes are compared as a
 grouping key. Each row then finds its group by the hash and the text's SHA-256; text itself is not joined, and
@@ -22,19 +22,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, id_and_text, joined_by_key
-
-SLOTS = 1 << 20
+from .common import checkpointed, documents, id_and_text, joined_by_key, slot
 
 
 def md5_128(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def slot(h: Column) -> Column:
-    return F.pmod(F.xxhash64(h), F.lit(SLOTS))
-
-
 def repeated_texts(rows: DataFrame) -> DataFrame:
     """h, sha, keep_id, group_size of every text that occurs twice or more, from rows (doc_id, text, h)."""
     again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(slot(F.col("h")).alias("slot")).distinct()
