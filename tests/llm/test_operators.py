@@ -222,7 +222,7 @@ def test_language_backoff(spark):
     assert all(got[i]["lang_pred"] == ("en" if i % 2 else "de") for i in range(60))
     assert (got[100]["lang_pred"], got[101]["lang_pred"], got[102]["lang_pred"], got[103]["lang_pred"]) == ("und", "und", "en", "de")
     assert all(0 <= r["score"] <= 1 for r in got.values())
-    assert "thinghouse" not in model.words
+    assert "thinghouse" not in model.head.words
     empty = language_id.learn(no_documents(spark))
     assert {r["lang_pred"] for r in language_id.predict(docs, empty).collect()} == {"und"}
 
@@ -233,18 +233,53 @@ def test_language_counts_are_whole(spark, docs, plain):
     assert counts == dict(expected)
 
 
-def test_language_counts_are_not_cut(spark, docs, monkeypatch):
-    """Whole tables beyond what is broadcast give what one whole model gives."""
-    train = docs.where("doc_id % 3 <> 0")
-    monkeypatch.setattr(language_id, "MAX_WORDS", 10**7)
-    monkeypatch.setattr(language_id, "MAX_GRAMS", 10**7)
-    whole = rows_of(language_id.predict(docs, language_id.learn(train)))
-    monkeypatch.setattr(language_id, "MAX_WORDS", 60)
-    monkeypatch.setattr(language_id, "MAX_GRAMS", 50)
-    got = rows_of(language_id.predict(docs, language_id.learn(train)))
-    assert got.keys() == whole.keys() and {r["lang_pred"] for r in whole.values()} > {"und"}
-    for i, r in whole.items():
-        assert got[i]["lang_pred"] == r["lang_pred"] and got[i]["score"] == pytest.approx(r["score"], abs=1e-3)
+def plain_languages(rows, train) -> dict:
+    """The definition, word by word: known words by log frequency, others by the mean over their longest known n-grams."""
+    words, grams = defaultdict(Counter), {k: defaultdict(Counter) for k in (5, 4, 3, 2, 1)}
+    for r in train:
+        if r["lang"] and r["text"]:
+            for w in language_id.LETTERS.findall(r["text"].lower()):
+                words[w][r["lang"]] += 1
+    langs = sorted({lang for c in words.values() for lang in c})
+    for w, c in words.items():
+        for k, table in grams.items():
+            for i in range(len(w) + 3 - k):
+                for lang, n in c.items():
+                    table[f"^{w}$"[i : i + k]][lang] += n
+
+    def logs(table, key):
+        return np.array([np.log(table[key][lang] + 0.5) - np.log(sum(c[lang] for c in table.values()) + 0.5 * (len(table) + 1)) for lang in langs])
+
+    out = {}
+    for r in rows:
+        found = language_id.LETTERS.findall((r["text"] or "").lower())
+        total = np.zeros(len(langs))
+        for w in found:
+            if w in words:
+                total = total + logs(words, w)
+                continue
+            for k, table in grams.items():
+                known = [f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k) if f"^{w}$"[i : i + k] in table]
+                if known:
+                    total = total + np.mean([logs(table, g) for g in known], axis=0)
+                    break
+        out[r["doc_id"]] = (langs[int(np.argmax(total))], 1 / np.exp(total - total.max()).sum()) if found else ("und", 0.0)
+    return out
+
+
+@pytest.mark.parametrize(("cells", "max_grams"), [(10**7, 10**7), (60, 10**7), (60, 50)])
+def test_language_by_brute_force(spark, monkeypatch, cells, max_grams):
+    """With all tables in the model, with rare words joined, and with n-grams joined too."""
+    docs = documents(spark).where("text is null or length(text) < 2500").persist()
+    rows = docs.collect()
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    monkeypatch.setattr(language_id, "MAX_GRAMS", max_grams)
+    model = language_id.learn(docs.where("doc_id % 3 <> 0"))
+    assert model.whole == (cells > 60) and (model.head.grams is not None) == (max_grams > 50)
+    got, expected = rows_of(language_id.predict(docs, model)), plain_languages(rows, [r for r in rows if r["doc_id"] % 3])
+    assert {lang for lang, _ in expected.values()} > {"und"}
+    for i, (lang, score) in expected.items():
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-3)
 
 
 # -- 5
