@@ -18,7 +18,9 @@ symbols is a string that several shards have. With the common prefixes of neighb
 occur twice, these are all repeated strings.
 
 Hot anchors. An anchor with more than ``HOT`` runs is no group of one task: each of its windows is dealt out by
-its own hash, and counted under a 128-bit hash of its bytes; equal windows of a map task leave it as one row.
+its own hash, and counted under a 128-bit hash of its bytes; equal windows of a map task leave it as one row. Those
+that also have one in ``HOT_ANCHORS`` of all runs, which are fewer than that, are found first and their runs never
+meet; the others are counted where their runs meet.
 
 Rows are named by an MD5 of id and text, so that a task that runs again gives the same names.
 
@@ -31,6 +33,7 @@ ties, every occurrence goes; equal rows repeat each other; very long texts are s
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +47,13 @@ LENGTH = 200
 GRAM = 32
 SHARDS = 4
 #: Bytes of distinct pieces that a task merges at a time (whole anchor groups).
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 SCAN = 1 << 20
 #: A longer text is scanned in sections, which overlap so that every window lies in one of them.
 SECTION = 1 << 24
 #: Runs of an anchor that may meet in one task.
 HOT = 1 << 16
+HOT_ANCHORS = 2000
 
 MULTIPLY = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -281,11 +285,11 @@ def scanned(cut: list[bytes], length: int, gram: int):
     return [np.concatenate(c) for c in zip(*found, strict=True)]
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """row, start, stop: stretches of bytes covered by repeated windows, from (row, text, doc_id) dealt by row."""
+def repeated_spans(plain: DataFrame, texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """row, start, stop: stretches of bytes covered by repeated windows, from (row, text, doc_id), as they are and dealt by row."""
 
-    def scan(batches):
-        schema = pa.schema([("h", pa.int64()), ("row", pa.binary()), ("first", pa.int32()), ("windows", pa.int32())])
+    def runs_of(batches):
+        """Names, first windows, numbers of windows and anchors of the runs in some rows."""
         for batch in sliced(batches, SCAN):
             cut, own, base = [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
@@ -294,12 +298,36 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
                     cut.append(raw[start : start + SECTION + length - 1])
                     own.append(k)
                     base.append(start)
-            if not cut:
-                continue
-            number, first, windows, h = scanned(cut, length, gram)
-            ids = batch.column(0).take(pa.array(np.array(own, np.int64)[number]))
-            first = first + np.array(base, np.int64)[number]
-            yield record_batch(schema, [h, ids, first.astype(np.int32), windows.astype(np.int32)])
+            if cut:
+                number, first, windows, h = scanned(cut, length, gram)
+                yield batch.column(0).take(pa.array(np.array(own, np.int64)[number])), first + np.array(base, np.int64)[number], windows, h
+
+    def frequent(batches):
+        """h and n of anchors with a large share of the task's runs, and the number of all its runs without an h."""
+        schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+        counts: Counter = Counter()
+        total = 0
+        for _, _, _, h in runs_of(batches):
+            names, n = np.unique(h, return_counts=True)
+            some = n > 1
+            counts.update(dict(zip(names[some].tolist(), n[some].tolist(), strict=True)))
+            total += len(h)
+            if len(counts) > 50 * HOT_ANCHORS:
+                counts = Counter({k: v for k, v in counts.items() if v * HOT_ANCHORS * 2 >= total})
+        kept = [(k, v) for k, v in counts.items() if v * HOT_ANCHORS >= total]
+        yield record_batch(schema, [[None, *[k for k, _ in kept]], [total, *[v for _, v in kept]]])
+
+    # before the deal, so that texts are not dealt out twice
+    unnamed = plain.select(F.lit(b"").alias("row"), "text")
+    found = {r["h"]: r["n"] for r in unnamed.mapInArrow(frequent, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("h").isNull() | (F.col("n") > hot)).orderBy(F.col("h").isNotNull(), F.col("n").desc()).limit(HOT_ANCHORS + 1).collect()}
+    all_runs = found.pop(None, 0)
+    hot_anchors = np.array(sorted(h for h, n in found.items() if n * HOT_ANCHORS >= all_runs), np.int64)
+
+    def scan(batches):
+        schema = pa.schema([("h", pa.int64()), ("salt", pa.int64()), ("row", pa.binary()), ("first", pa.int32()), ("windows", pa.int32())])
+        for ids, first, windows, h in runs_of(batches):
+            salt = np.where(np.isin(h, hot_anchors), 1 + first % 4096, 0)
+            yield record_batch(schema, [h, salt, ids, first.astype(np.int32), windows.astype(np.int32)])
 
     def shared(batches):
         """Of rows in order of h, those whose h occurs again, and whether it occurs more than ``hot`` times; at most so many rows wait."""
@@ -310,7 +338,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
             for r in rows:
                 yield pa.RecordBatch.from_arrays([*r.columns, pa.array(np.full(r.num_rows, is_hot))], names=[*r.schema.names, "hot"])
 
-        for batch in batches:
+        for whole_batch in batches:
+            salted = whole_batch.column(1).to_numpy() > 0
+            batch = whole_batch.select(["h", "row", "first", "windows"])
+            if salted.any():
+                yield from out([batch.filter(pa.array(salted))], True)
+                batch = batch.filter(pa.array(~salted))
             if not batch.num_rows:
                 continue
             h = batch.column(0).to_numpy()
@@ -339,8 +372,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
         if 1 < size <= hot:
             yield from out(held, False)
 
-    runs = texts.mapInArrow(scan, "h long, row binary, first int, windows int")
-    common = runs.repartition("h").sortWithinPartitions("h").mapInArrow(shared, "h long, row binary, first int, windows int, hot boolean")
+    runs = texts.mapInArrow(scan, "h long, salt long, row binary, first int, windows int")
+    common = runs.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(shared, "h long, row binary, first int, windows int, hot boolean")
     wanted = common.groupBy(F.col("row").alias("run_row")).agg(F.collect_set(F.struct("h", "first", "windows", "hot")).alias("runs"))
 
     def cut(batches):
@@ -452,8 +485,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     Whole texts are dealt out once, by a row's name; the scan, the cutting of pieces and the removal read that deal.
     """
     row = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")).cast("binary")))
-    texts = id_and_text(docs).select(row.alias("row"), "text", "doc_id").repartition("row")
-    found = repeated_spans(texts, length, hot=hot)
+    plain = id_and_text(docs).select(row.alias("row"), "text", "doc_id")
+    texts = plain.repartition("row")
+    found = repeated_spans(plain, texts, length, hot=hot)
     by_doc = found.groupBy(F.col("row").alias("span_row")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     fields = [pa.field("doc_id", pa.int64()), pa.field("n_bytes", pa.int64()), pa.field("n_removed", pa.int64()), pa.field("n_spans", pa.int64()), pa.field("kept_sha256", pa.string())]
     schema = pa.schema(fields + [pa.field("kept", pa.binary())] * with_text)
