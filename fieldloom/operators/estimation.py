@@ -12,10 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import distance_threshold
 from ..plans.config import Options, bounds, initial_theta, unpack
 from . import blocks, likelihood, neighbors
 
 log = logging.getLogger(__name__)
+#: Fixed value: the default multiplier of the number of neighbours, which stands for no limit.
+NO_LIMIT = 99_999
 
 
 @dataclass
@@ -118,6 +121,26 @@ class Prepared:
     seconds: dict[str, float]
     points: DataFrame  # scaled, with cid and ord
     sizes: DataFrame  # n, m of every block
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for frame in self.held:
+            frame.unpersist()
+
+
+def radii(o: Options, n: int, m: int) -> tuple[float | None, float | None]:
+    """(coarse, finer) radius of the neighbour search: as given, else from m, n, the scale and ``nn_multiplier``; None: no limit.
+
+    A multiplier of the default's size makes radii that no pair exceeds.
+    """
+    derived = distance_threshold(o.distance_scale, n, m, o.nn_multiplier) if o.nn_multiplier < NO_LIMIT and n else None
+    return tuple(derived if given is None else given for given in (o.distance_threshold_coarse, o.distance_threshold_finer))
+
+
+def neighbours_within(order: DataFrame, points: DataFrame, candidates: DataFrame | None, m: int, radius: float | None, is_test: bool = False) -> DataFrame:
+    """Each block's m nearest points within the radius, filled up from its candidate blocks where they are too few."""
+    near = neighbors.nearest_earlier(order, points, m, radius, is_test)
+    return near if candidates is None else neighbors.filled(near, candidates, order, points, m)
 
 
 def prepare(points: DataFrame, options: Options) -> Prepared:
@@ -133,18 +156,31 @@ def prepare(points: DataFrame, options: Options) -> Prepared:
 
     scaled = blocks.scaled(points, o.distance_scale).persist()
     assigned, centers = blocks.finer_partition(scaled, o.num_total_blocks, o.clustering, o.kmeans_max_iter, o.seed)
-    means = blocks.centroids(assigned)
+    assigned = assigned.persist()
+    n = assigned.count()
+    lap("RAC_partitioning")
+    means = blocks.centroids(assigned).persist()
+    n_blocks = means.count()
+    lap("centers_of_gravity_calculation")
     order = blocks.ordered_blocks(means, o.seed).persist()
     order.count()
-    lap("blocking")
-    near = neighbors.nearest_earlier(order, neighbors.with_order(assigned, order), o.m, o.distance_threshold_finer)
-    placed = neighbors.with_order(assigned, order)
+    lap("reorder_centers")
+    placed = neighbors.with_order(assigned, order).persist()
+    placed.count()
+    lap("create_block_info")
+    coarse, finer = radii(o, n, o.m)
+    candidates = None if coarse is None else neighbors.candidate_order_join(order, coarse, classic=n_blocks == n)
+    near = neighbours_within(order, placed, candidates, o.m, finer).persist()
+    near.count()
+    lap("nn_searching")
     table = likelihood.block_table(blocks.unscaled(assigned, o.distance_scale), blocks.unscaled(near, o.distance_scale))
-    table = table.coalesce(points.sparkSession.sparkContext.defaultParallelism).persist()
+    table = table.repartition(points.sparkSession.sparkContext.defaultParallelism).persist()
     table.count()
-    lap("neighbours")
+    lap("gpu_copy")
+    near.unpersist()
+    means.unpersist()
     sizes = table.select(F.size("py").alias("n"), F.size("ny").alias("m"))
-    return Prepared(table, seconds, placed, sizes)
+    return Prepared(table, seconds, placed, sizes, (table, placed, order, assigned, scaled))
 
 
 def fit(points: DataFrame, options: Options) -> tuple[Optimum, Prepared]:
@@ -159,7 +195,10 @@ def fit(points: DataFrame, options: Options) -> tuple[Optimum, Prepared]:
         log.info("theta %s loglik %s", theta, value)
         return float("-inf") if value is None or math.isnan(value) else value
 
-    return maximise(objective, theta0, low, high, o.maxeval, o.xtol_rel, o.ftol_rel), prepared
+    began = time.time()
+    found = maximise(objective, theta0, low, high, o.maxeval, o.xtol_rel, o.ftol_rel)
+    prepared.seconds["computation"] = time.time() - began
+    return found, prepared
 
 
 def trace_frame(spark: SparkSession, found: Optimum) -> DataFrame:

@@ -29,14 +29,14 @@ def inverse_squares(ranges: Sequence[float]) -> list[float]:
     return [1.0 / (r * r) for r in ranges]
 
 
-def covariance_long(points: DataFrame, theta: Theta, kernel_type: str) -> DataFrame:
-    """i, j, val (i <= j by point_id): the covariance matrix in long form, nugget on its diagonal."""
-    xs = coordinates(points)
-    a = points.select(F.col("point_id").alias("i"), *[F.col(x).alias(f"a_{x}") for x in xs])
-    b = points.select(F.col("point_id").alias("j"), *[F.col(x).alias(f"b_{x}") for x in xs])
+def covariance_long(assigned: DataFrame, theta: Theta, kernel_type: str) -> DataFrame:
+    """cid, i, j, val (i <= j by point_id): the covariance matrix of every block in long form, nugget on its diagonal."""
+    xs = coordinates(assigned)
+    a = assigned.select("cid", F.col("point_id").alias("i"), *[F.col(x).alias(f"a_{x}") for x in xs])
+    b = assigned.select("cid", F.col("point_id").alias("j"), *[F.col(x).alias(f"b_{x}") for x in xs])
     d2 = squared_distance([F.col(f"a_{x}") for x in xs], [F.col(f"b_{x}") for x in xs], inverse_squares(theta.ranges))
     value = kernel(kernel_type).column(theta.variance, d2, theta.smoothness) + F.when(F.col("i") == F.col("j"), F.lit(theta.nugget)).otherwise(F.lit(0.0))
-    return a.join(b, F.col("i") <= F.col("j")).select("i", "j", value.alias("val"))
+    return a.join(b, "cid").where(F.col("i") <= F.col("j")).select("cid", "i", "j", value.alias("val"))
 
 
 def conditional_one(points: DataFrame, neighbours: DataFrame, theta: Theta, kernel_type: str) -> DataFrame:
@@ -100,17 +100,33 @@ def block_table(assigned: DataFrame, neighbours: DataFrame) -> DataFrame:
     return joined.select(F.col("pcid").alias("cid"), "px", "py", F.coalesce("nx", empty).alias("nx"), F.coalesce("ny", empty).alias("ny"))
 
 
-def joint_covariance(x: np.ndarray, theta: Theta, kernel_type: str, dtype: str = "double") -> np.ndarray:
-    scaled = (x / np.asarray(theta.ranges)).astype(np.float32 if dtype == "float" else np.float64)
-    d2 = np.zeros((len(x), len(x)), scaled.dtype)
-    for j in range(scaled.shape[1]):
-        diff = scaled[:, j, None] - scaled[None, :, j]
+def covariance(a: np.ndarray, b: np.ndarray, theta: Theta, kernel_type: str, dtype: str = "double") -> np.ndarray:
+    """Covariances of the points of a (rows) and of b (columns), without nugget."""
+    kind = np.float32 if dtype == "float" else np.float64
+    a, b = (a / np.asarray(theta.ranges)).astype(kind), (b / np.asarray(theta.ranges)).astype(kind)
+    d2 = np.zeros((len(a), len(b)), kind)
+    for j in range(a.shape[1]):
+        diff = a[:, j, None] - b[None, :, j]
         d2 += diff * diff
-    cov = kernel(kernel_type).array(theta.variance, d2, theta.smoothness).astype(scaled.dtype)
-    cov[np.diag_indices(len(x))] += scaled.dtype.type(theta.nugget)
+    return kernel(kernel_type).array(theta.variance, d2, theta.smoothness).astype(kind)
+
+
+def joint_covariance(x: np.ndarray, theta: Theta, kernel_type: str, dtype: str = "double") -> np.ndarray:
+    cov = covariance(x, x, theta, kernel_type, dtype)
+    cov[np.diag_indices(len(x))] += cov.dtype.type(theta.nugget)
     return cov
 
 
+def forward(factor: np.ndarray, right: np.ndarray, step: int = 32) -> np.ndarray:
+    """Solution of a lower triangular system by blocked substitution: a product for each strip, a small solve on its diagonal."""
+    out = right.astype(factor.dtype, copy=True)
+    for start in range(0, len(factor), step):
+        stop = start + step
+        out[start:stop] = np.linalg.solve(factor[start:stop, start:stop], out[start:stop])
+        out[stop:] -= factor[stop:, start:stop] @ out[start:stop]
+    return out
+
+
 def block_terms(px, py, nx, ny, theta: Theta, kernel_type: str, dtype: str = "double") -> tuple[float, float, np.ndarray, np.ndarray, bool]:
     """(logdet, quad, conditional means, conditional variances, ok) of one block."""
     d = len(theta.ranges)
@@ -119,14 +135,27 @@ def block_terms(px, py, nx, ny, theta: Theta, kernel_type: str, dtype: str = "do
     m = len(ny)
     try:
         factor = np.linalg.cholesky(joint_covariance(x, theta, kernel_type, dtype))
-        z = np.linalg.solve(factor, y.astype(factor.dtype))
     except np.linalg.LinAlgError:
         return 0.0, 0.0, np.zeros(len(py)), np.zeros(len(py)), False
+    z = forward(factor, y)
     mean = factor[m:, :m] @ z[:m]
     lower = factor[m:, m:]
     return float(2 * np.log(np.diag(factor)[m:].astype(np.float64)).sum()), float((z[m:].astype(np.float64) ** 2).sum()), mean, np.maximum((lower * lower).sum(axis=1), 0.0), True
 
 
+def member_predictions(px, nx, ny, theta: Theta, kernel_type: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """Conditional mean and variance of every member alone, given the neighbours, from one factor; None where there is none."""
+    d = len(theta.ranges)
+    members, near = px.reshape(-1, d), nx.reshape(-1, d)
+    try:
+        factor = np.linalg.cholesky(joint_covariance(near, theta, kernel_type))
+    except np.linalg.LinAlgError:
+        return None
+    solved = forward(factor, np.column_stack([covariance(near, members, theta, kernel_type), ny]))
+    w, z = solved[:, :-1], solved[:, -1]
+    return w.T @ z, np.maximum(theta.variance + theta.nugget - (w * w).sum(axis=0), 0.0)
+
+
 def _arrays(column: pa.Array) -> list[np.ndarray]:
     values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -173,15 +202,13 @@ def block_predictions(table: DataFrame, theta: Theta, kernel_type: str, anchor:
         for batch in batches:
             out = [[], [], [], [], []]
             for cid, px, py, nx, ny in zip(batch.column(0).to_pylist(), *[_arrays(batch.column(k)) for k in range(1, 5)], strict=True):
-                # each member alone, given the neighbours
                 d = len(theta.ranges)
                 if theta.extremes:
                     py = transform(px.reshape(-1, d), py, theta.extremes, tuple(anchor), anchor_value)[0]
                     ny = transform(nx.reshape(-1, d), ny, theta.extremes, tuple(anchor), anchor_value)[0]
-                for k in range(len(py)):
-                    _, _, mean, var, ok = block_terms(px[k * d : (k + 1) * d], py[k : k + 1], nx, ny, theta, kernel_type)
-                    for column, v in zip(out, (cid, k, float(py[k]), float(mean[0]) if ok else None, float(var[0]) if ok else None), strict=True):
-                        column.append(v)
+                mean, var = member_predictions(px, nx, ny, theta, kernel_type) or ([None] * len(py), [None] * len(py))
+                for column, values in zip(out, ([cid] * len(py), range(len(py)), py, mean, var), strict=True):
+                    column.extend(values)
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["cid", "place", "obs", "mean", "var"])
 

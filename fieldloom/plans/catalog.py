@@ -150,7 +150,8 @@ def kernel_query(name: str) -> Query:
 
 
 def cov_long(spark: SparkSession, d: str) -> DataFrame:
-    near = parts(spark, d).where(F.col("point_id") <= 60)
+    """The covariance matrix of every block's members."""
+    near, _ = assigned(parts(spark, d))
     return rounded(likelihood.covariance_long(near, THETA, "matern32"), 9)
 
 
@@ -186,6 +187,44 @@ def sum_terms(spark: SparkSession, d: str) -> DataFrame:
     return rounded(by_block, 6)
 
 
+def classic_block_loglik(m: int) -> Query:
+    """The block engine (matrices, factors, solves) on blocks of one point, whose value has a closed form."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        p = parts(spark, d)
+        near, _ = classic(p)
+        found = likelihood.block_loglik(likelihood.block_table(near, classic_neighbours(p, m)), THETA, "matern32")
+        return rounded(found.select("n", "logdet", "quad", "loglik"), 4)
+
+    return run
+
+
+def sce_block_loglik(spark: SparkSession, d: str) -> DataFrame:
+    """The same under the extremes model, whose transform the engine makes itself."""
+    near, order = classic(smooth(spark, d))
+    ranked = neighbors.nearest_earlier(order, near, 1, limit=200_000)
+    theta = Theta(THETA.variance, THETA.nugget, THETA.ranges, extremes=SCE)
+    found = likelihood.block_loglik(likelihood.block_table(near, ranked), theta, "matern32", anchor=ANCHOR, anchor_value=ANCHOR_VALUE)
+    return found.select("n", F.round("loglik", 3).alias("loglik"))
+
+
+def block_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Quality of the block engine's predictions on blocks of one point with one neighbour."""
+    p = smooth(spark, d)
+    train, _ = classic(p.where(F.col("point_id") % SPLIT != 0))
+    test, order = classic(p.where(F.col("point_id") % SPLIT == 0))
+    table = likelihood.block_table(test, neighbors.nearest_earlier(order, train, 1, is_test=True, limit=200_000))
+    return rounded(prediction.metrics(likelihood.block_predictions(table, THETA, "matern32")), 6)
+
+
+def block_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The block engine on blocks of two members and no neighbour: pairs of parts 2k and 2k + 1."""
+    p = parts(spark, d).withColumn("cid", F.floor(F.col("point_id") / 2).cast("bigint"))
+    nothing = p.select(F.col("cid").alias("dest"), F.lit(1).cast("bigint").alias("rank"), "obs", "x1", "x2").where(F.lit(False))
+    found = likelihood.block_loglik(likelihood.block_table(p, nothing), THETA, "matern32")
+    return rounded(found.select("n", "logdet", "quad", "loglik"), 4)
+
+
 def block_likelihood(spark: SparkSession, d: str) -> DataFrame:
     near, order = ordered(parts(spark, d))
     table = likelihood.block_table(near, neighbors.nearest_earlier(order, near, 20))
@@ -231,15 +270,26 @@ def block_prediction(spark: SparkSession, d: str) -> DataFrame:
     return rounded(prediction.metrics(likelihood.block_predictions(table, THETA, "matern32")), 6)
 
 
+def smooth_options(points: DataFrame, **more) -> Options:
+    """Blocks of about fifty points."""
+    return Options(dim=2, num_total_blocks=max(8, points.count() // 50), m=20, m_test=20, num_total_blocks_test=10, seed=SEED, distance_scale=(1.0, 1.0), distance_scale_init=(0.4, 0.4), kernel_type="matern32", **more)
+
+
 def fit_smooth(spark: SparkSession, d: str) -> DataFrame:
-    o = Options(dim=2, num_total_blocks=8, m=10, maxeval=12, seed=SEED, distance_scale=(1.0, 1.0), distance_scale_init=(0.4, 0.4), kernel_type="matern32")
-    found, prepared = estimation.fit(smooth(spark, d).where(F.col("point_id") <= 400), o)
-    prepared.table.unpersist()
+    """The search over all points, to its tolerances."""
+    points = smooth(spark, d)
+    found, prepared = estimation.fit(points, smooth_options(points))
+    prepared.release()
     return estimation.trace_frame(spark, found)
 
 
 def run_log(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.log_row(spark, {"numPointsTotal": 200, "numBlocksTotal": 10, "m": 5, "seed": SEED, "mspe": 0.5})
+    """The log row of a prediction run over all points, neighbours within a radius."""
+    from .run import run
+
+    p = smooth(spark, d)
+    train, test = p.where(F.col("point_id") % SPLIT != 0), p.where(F.col("point_id") % SPLIT == 0)
+    return run(spark, smooth_options(p, mode="prediction", nn_multiplier=4, num_simulations=100), train, test).log
 
 
 def trial_values(spark: SparkSession, d: str) -> DataFrame:
@@ -314,6 +364,11 @@ def queries() -> dict[str, Query]:
         "gp_loglik_m2": gp_loglik(2),
         "sum_terms": sum_terms,
         "block_loglik": block_likelihood,
+        "block_loglik_m1": classic_block_loglik(1),
+        "block_loglik_m2": classic_block_loglik(2),
+        "block_loglik_pairs": block_pairs,
+        "sce_block_loglik_m1": sce_block_loglik,
+        "block_metrics_m1": block_metrics,
         "sce_terms": lambda s, d: rounded(extremes.terms(smooth(s, d), SCE, ANCHOR, ANCHOR_VALUE).select("point_id", "delta", "a", "b", "z")),
         "dl_pdf": lambda s, d: rounded(sce_points(s, d).select("point_id", F.exp("log_f").alias("f"))),
         "dl_cdf": lambda s, d: rounded(sce_points(s, d).select("point_id", "u")),
@@ -325,7 +380,7 @@ def queries() -> dict[str, Query]:
         "block_prediction": block_prediction,
         "fit": fit_smooth,
         "run_log": run_log,
-        "precision_grid": lambda s, d: precision.precision_grid(s, 2, (10, 20), (0.5, 1.5), 120),
+        "precision_grid": lambda s, d: precision.precision_grid(s, 10),
         "trial_stats": trial_values,
     }
 

@@ -229,7 +229,7 @@ SELECT p.id AS a, q.id AS b, round(sqrt({_embedding_distance("p.c", "q.c")}), 8)
             "SELECT dest, rank, point_id, round(d2, 8) AS d2 FROM rk WHERE rank <= 60",
         ),
         "nn_test_topm": query([*split, nearest("te_bo", "tr_no", 5, earlier=False)], near8),
-        "cov_long": query(PART_POINTS, f"SELECT a.point_id AS i, b.point_id AS j, round({covariance('matern32', distance('a', 'b', weight=W))} + CASE WHEN a.point_id = b.point_id THEN 0.01::DOUBLE ELSE 0.0 END, 9) AS val FROM pp a JOIN pp b ON a.point_id <= b.point_id WHERE a.point_id <= 60 AND b.point_id <= 60"),
+        "cov_long": query(blocks40, f"SELECT a.cid, a.point_id AS i, b.point_id AS j, round({covariance('matern32', distance('a', 'b', weight=W))} + CASE WHEN a.point_id = b.point_id THEN 0.01::DOUBLE ELSE 0.0 END, 9) AS val FROM na a JOIN na b ON a.cid = b.cid AND a.point_id <= b.point_id"),
         "gflops": query(
             [*blocks40, nearest("bo", "no", 5), "hv AS (SELECT dest, count(*) AS m FROM nn GROUP BY dest)", "sz AS (SELECT n::DOUBLE AS n, coalesce(m, 0)::DOUBLE AS m FROM bo LEFT JOIN hv ON cid = dest)"],
             "SELECT round(sum(17.0 * (n*n + m*m + n*m) + (m*m*m/3.0::DOUBLE + m*m/2.0::DOUBLE + m/6.0::DOUBLE) + (n*n*n/3.0::DOUBLE + n*n/2.0::DOUBLE + n/6.0::DOUBLE) + m*m*n + m*m + n*n + 2.0*n*n*m + 2.0*n*m + 2.0*n*n + 2.0*n + 8.0*n) / 1e9, 9) AS gflops FROM sz",
@@ -253,6 +253,19 @@ SELECT p.id AS a, q.id AS b, round(sqrt({_embedding_distance("p.c", "q.c")}), 8)
         ),
         "trial_stats": "SELECT event_type AS kind, count(*) AS n_trials, round(avg(value), 6) AS mean_v, round(stddev_pop(value), 6) AS std_v, round(min(value), 6) AS min_v, round(max(value), 6) AS max_v, round(median(value), 6) AS median_v FROM events WHERE event_id % 97 <> 0 AND value IS NOT NULL AND NOT isnan(value) GROUP BY event_type",
     }
+    found["block_loglik_m1"], found["block_loglik_m2"], found["block_metrics_m1"] = found["gp_loglik_m1"], found["gp_loglik_m2"], found["pred_metrics"]
+    found["sce_block_loglik_m1"] = f"SELECT n, loglik FROM ({found['sce_loglik_m1']})"
+    # log det and quadratic form of [[k, c], [c, k]], or of k alone where a part has no partner
+    pair = covariance("matern32", distance("a", "b", weight=W))
+    found["block_loglik_pairs"] = query(
+        [
+            *PART_POINTS,
+            f"pr AS (SELECT a.obs AS y1, b.obs AS y2, coalesce({pair}, 0.0) AS c FROM pp a LEFT JOIN pp b ON b.point_id = a.point_id + 1 WHERE a.point_id % 2 = 0 UNION ALL SELECT a.obs, NULL, 0.0 FROM pp a WHERE a.point_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM pp b WHERE b.point_id = a.point_id - 1))",
+            f"tm AS (SELECT CASE WHEN y2 IS NULL THEN 1 ELSE 2 END AS n, CASE WHEN y2 IS NULL THEN ln({K0}) ELSE ln({K0} * {K0} - c * c) END AS logdet, CASE WHEN y2 IS NULL THEN y1 * y1 / {K0} ELSE ({K0} * (y1 * y1 + y2 * y2) - 2.0::DOUBLE * c * y1 * y2) / ({K0} * {K0} - c * c) END AS quad FROM pr)",
+            "ts AS (SELECT sum(n)::BIGINT AS n, sum(logdet) AS logdet, sum(quad) AS quad FROM tm)",
+        ],
+        "SELECT n, round(logdet, 4) AS logdet, round(quad, 4) AS quad, round(-0.5::DOUBLE * (logdet + quad), 4) AS loglik FROM ts",
+    )
     for name in ("matern12", "matern32", "matern52", "matern72", "powexp", "exponential"):
         found[f"kernel_{name}"] = query(PART_POINTS, f"SELECT point_id, round({covariance(name, corner)}, 10) AS cov FROM pp")
     return found

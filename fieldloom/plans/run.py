@@ -36,7 +36,12 @@ def predict(prepared: estimation.Prepared, test: DataFrame, o: Options, theta: t
     scaled = blocks.scaled(test, o.distance_scale)
     assigned, _ = blocks.finer_partition(scaled, o.num_total_blocks_test, o.clustering, o.kmeans_max_iter, o.seed)
     order = blocks.ordered_blocks(blocks.centroids(assigned), o.seed)
-    near = neighbors.nearest_earlier(order, prepared.points, o.m_test, o.distance_threshold_coarse, is_test=True)
+    coarse, _ = estimation.radii(o, prepared.points.count(), o.m_test)
+    candidates = None
+    if coarse is not None:
+        train = blocks.centroids(prepared.points.drop("ord")).join(prepared.points.select("cid", "ord").distinct(), "cid")
+        candidates = neighbors.candidate_range_join(train, order, coarse)
+    near = estimation.neighbours_within(order, prepared.points, candidates, o.m_test, coarse, is_test=True)
     table = likelihood.block_table(blocks.unscaled(assigned, o.distance_scale), blocks.unscaled(near, o.distance_scale))
     found = likelihood.block_predictions(table, unpack(o, theta), o.kernel_type, o.anchor_loc, o.anchor_val)
     found = found.select(F.concat_ws("/", F.col("cid").cast("string"), F.col("place").cast("string")).alias("point_id"), "obs", "mean", "var")
@@ -63,10 +68,9 @@ def run(spark: SparkSession, options: Options, train: DataFrame | None = None, t
     blocks_n = prepared.table.count()
     values = {
         "total": result.seconds["total"],
-        "RAC_partitioning": result.seconds["blocking"],
-        "nn_searching": result.seconds["neighbours"],
+        **{name: result.seconds.get(name) for name in runlog.TIMINGS if name not in ("total", "total_gflops")},
         "total_gflops": flops.gflops(prepared.sizes, o.dim).first()[0],
-        "numPointsTotal": o.num_total_points,
+        "numPointsTotal": prepared.points.count(),
         "numBlocksTotal": blocks_n,
         "m": o.m,
         "seed": o.seed,
@@ -81,5 +85,5 @@ def run(spark: SparkSession, options: Options, train: DataFrame | None = None, t
         name = runlog.run_name(o.num_total_points, blocks_n, o.m, o.seed, len(set(o.distance_scale)) > 1)
         runlog.append_log(result.log, f"{o.log_append}/{name}")
         runlog.append_theta(spark, result.theta, f"{o.log_append}/theta_{name}")
-    prepared.table.unpersist()
+    prepared.release()
     return result

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import statistics
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,7 +200,7 @@ def test_fit_improves_the_likelihood(spark):
     p = src.smooth_points(spark.range(150).select(F.col("id").alias("point_id")))
     found, prepared = estimation.fit(p, Options(dim=2, num_total_blocks=5, m=10, maxeval=10, distance_scale_init=(0.4, 0.4)))
     assert found.evaluations == 10 and found.value >= found.trace[0][2]
-    assert set(prepared.seconds) == {"blocking", "neighbours"}
+    assert set(prepared.seconds) == {"RAC_partitioning", "centers_of_gravity_calculation", "reorder_centers", "create_block_info", "nn_searching", "gpu_copy", "computation"}
 
 
 def test_kmeans_lowers_distances(spark, cloud):
@@ -273,3 +275,57 @@ def test_whole_runs(spark, tmp_path, model):
     assert got.log.first()["iters"] == 4 and len(list(tmp_path.iterdir())) == 2
     with pytest.raises(SystemExit):
         parsed(["--nothing", "1"])
+
+
+def test_forward_substitution_and_member_predictions():
+    from fieldloom.operators import likelihood
+    from fieldloom.plans.config import Theta
+
+    rng = np.random.default_rng(4)
+    theta = Theta(1.3, 0.02, (0.3, 0.6))
+    nx, px, ny, py = rng.random((75, 2)), rng.random((6, 2)), rng.normal(size=75), rng.normal(size=6)
+    factor = np.linalg.cholesky(likelihood.joint_covariance(nx, theta, "matern52"))
+    for right in (ny, rng.normal(size=(75, 3))):
+        assert np.allclose(likelihood.forward(factor, right), np.linalg.solve(factor, right))
+    mean, var = likelihood.member_predictions(px.ravel(), nx.ravel(), ny, theta, "matern52")
+    for k in range(6):
+        _, _, own_mean, own_var, ok = likelihood.block_terms(px[k], py[k : k + 1], nx.ravel(), ny, theta, "matern52")
+        assert ok and np.isclose(mean[k], own_mean[0]) and np.isclose(var[k], own_var[0])
+    alone = likelihood.member_predictions(px.ravel(), np.zeros(0), np.zeros(0), theta, "matern52")
+    assert np.allclose(alone[0], 0) and np.allclose(alone[1], 1.32)
+
+
+def test_runs_search_within_the_derived_radius(spark):
+    """More than 200 blocks, so that the radius cuts; blocks with too few points within it are filled up."""
+    from fieldloom.functions.geometry import distance_threshold
+    from fieldloom.operators import estimation
+    from fieldloom.plans.config import Options
+
+    rng = np.random.default_rng(5)
+    cloud = rng.random((900, 2))
+    points = spark.createDataFrame([(i, float(x), float(y), float(x + y)) for i, (x, y) in enumerate(cloud)], "point_id long, x1 double, x2 double, obs double")
+    o = Options(dim=2, num_total_blocks=300, m=8, nn_multiplier=2, distance_scale=(0.9, 0.9), distance_scale_init=(0.4, 0.4)).checked()
+    coarse, finer = estimation.radii(o, 900, 8)
+    assert coarse == finer == distance_threshold((0.9, 0.9), 900, 8, 2)
+    assert estimation.radii(Options(dim=2).checked(), 900, 8) == (None, None)
+    prepared = estimation.prepare(points, o)
+    placed = prepared.points.toPandas()
+    blocks_ = placed.groupby("cid").agg(ord=("ord", "first"), c1=("x1", "mean"), c2=("x2", "mean")).reset_index()
+    sizes = {r["cid"]: len(r["ny"]) for r in prepared.table.select("cid", "ny").collect()}
+    values = {r["cid"]: sorted(r["ny"]) for r in prepared.table.select("cid", "ny").collect()}
+    seen = Counter()
+    for b in blocks_.itertuples():
+        earlier = placed[placed.ord < b.ord].copy()
+        earlier["d"] = np.hypot(earlier.x1 - b.c1, earlier.x2 - b.c2)
+        near = earlier if b.ord <= 200 else earlier[earlier.d < finer]
+        near = near.sort_values(["d", "ord", "point_id"]).head(8)
+        if 0 < len(near) < 8:
+            first = blocks_[(blocks_.ord < b.ord) & ((blocks_.ord < 42) | (np.hypot(blocks_.c1 - b.c1, blocks_.c2 - b.c2) < coarse / 2))].cid
+            rest = earlier[earlier.cid.isin(first) & ~earlier.point_id.isin(near.point_id)].sort_values(["ord", "point_id"]).head(8 - len(near))
+            near = pd.concat([near, rest])
+            seen["filled"] += len(rest) > 0
+        assert sizes[b.cid] == len(near)
+        assert np.allclose(values[b.cid], sorted(near.obs), atol=1e-9)
+        seen["late"] += b.ord > 200
+    assert seen["late"] > 50
+    prepared.release()
