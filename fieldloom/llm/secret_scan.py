@@ -1,20 +1,26 @@
 """Secret scans: fixed patterns, and strings that stay novel to a primed compressor.
 
 Base spans come from three patterns (assignments to sensitive names, access key ids, long lower-case
-hexadecimal runs). The method adds candidates near sensitive names: strings of mixed letters and digits. Each
-candidate's marginal size is the zstandard size of its surroundings with it, less that without it, under a
-dictionary of common identifiers; a candidate that costs at least ``NOVEL`` bytes for each of its characters
-is incompressible there and is reported. What occurs in the surroundings or among identifiers costs little.
-
-Defined results: a null or empty text has no spans; positions are code points with exclusive ends; base spans
-stay, and a candidate that overlaps one is dropped; repeated rows give repeated results; extra columns are
-ignored.
+hexadecimal runs). The method adds candidates near sensitive names: strings of ``LEAST`` or more characters that keys
+are written in. Each candidate's marginal size is the zstandard size of its surroundings with it, less that without it,
+under a dictionary of identifiers (names of a programming language and of settings); a candidate that costs at least
+``NOVEL`` bytes for each of its characters is incompressible there and is reported. What occurs in the surroundings or
+among identifiers costs little. Nothing but this cost decides about a candidate.
+
+Defined results: an empty table gives no rows; a null or empty text has no spans; positions are code points with
+exclusive ends; ties in the start go by kind; base spans stay, and a candidate that overlaps one is dropped; a cost of
+the limit itself is novel; very long texts are scanned whole; rows are judged one by one, so that null ids, repeated ids
+and repeated rows change nothing; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import builtins
 import hashlib
+import keyword
 import re
+import string
+import sys
 
 import pyarrow as pa
 import zstandard
@@ -33,22 +39,24 @@ ASSIGN_MARKS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SENSITIVE_MARKS = ("key", "secret", "token", "passw", "credential", "bearer", "authorization", "private")
 SENSITIVE = re.compile("(?ia)" + "|".join(SENSITIVE_MARKS))
 REACH = 80
-LEAST = 16
+LEAST = 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-AROUND = 256
-NOVEL = 0.6
-#: What code around secrets is made of: a candidate built of these costs the compressor little.
-IDENTIFIERS = (
-    "password passwd secret token api_key apikey access_key private_key client_id client_secret authorization bearer credential "
-    "username user_id session_id config settings default value string number boolean return function class import export const "
-    "http https localhost example.com www index main test data file path name type version true false null none "
-    "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-).encode()
+AROUND = 1024
+NOVEL = 0.65
+#: Words of configuration around secrets, beside the names of the language itself.
+SETTINGS = "access_key secret_key api_key private_key public_key client_secret client_id auth_token refresh_token session_id authorization bearer basic password username credentials connection_string endpoint certificate BEGIN RSA PRIVATE KEY END environment variable configuration example placeholder changeme your_secret_here"
+
+
+def identifiers() -> bytes:
+    """What a candidate may be made of at little cost: keywords, built-in and module names, members of common types."""
+    types = (str, bytes, list, dict, set, int, float, Exception)
+    names = {*keyword.kwlist, *dir(builtins), *sys.stdlib_module_names, *(name for t in types for name in dir(t))}
+    return " ".join([string.ascii_letters + string.digits, *sorted(names), SETTINGS]).encode()
 
 
 class Scanner:
     def __init__(self, novel: float = NOVEL):
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed = zstandard.ZstdCompressionDict(identifiers(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
         self.novel = novel
 
@@ -93,8 +101,7 @@ class Scanner:
                     span = next(taken, None)
                 if span and span[0] < end:
                     continue
-                word = text[start:end]
-                if any(c.isdigit() for c in word) and any(c.isalpha() for c in word) and self.cost(text, start, end) >= self.novel * (end - start):
+                if self.cost(text, start, end) >= self.novel * (end - start):
                     found.append((start, 3, end))
         return found
 

@@ -436,6 +436,52 @@ def test_secret_values_of_names(name):
     assert secret_scan.Scanner().added(text, []) == [(4 + len(name), 3, 4 + len(name) + len(value))]
 
 
+def plain_added(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """By brute force: every whole candidate that starts within the reach of a sensitive name, by the sizes of its surroundings."""
+    import zstandard
+
+    primed = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(secret_scan.identifiers(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+    marks = [m.end() for m in re.finditer("(?ia)" + "|".join(secret_scan.SENSITIVE_MARKS), text)]
+    out = []
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        starts = [run.start(), *(run.start() + i + 1 for i, c in enumerate(run[0]) if c == "=" and i + 1 < len(run[0]) and run[0][i + 1] != "=")]
+        for start in starts:
+            if not any(m <= start <= m + secret_scan.REACH for m in marks) or run.end() - start < secret_scan.LEAST:
+                continue
+            if any(a < run.end() and start < b for a, _, b in base):
+                break
+            around = text[max(0, start - 1024) : start] + text[run.end() : run.end() + 1024]
+            cost = len(primed.compress((around + text[start : run.end()]).encode())) - len(primed.compress(around.encode()))
+            if cost >= secret_scan.NOVEL * (run.end() - start):
+                out.append((start, run.end()))
+            break
+    return out
+
+
+def test_planted_secrets_and_plain_names():
+    """Recall on random strings of several alphabets, false positives on names and words, and brute force on all of them."""
+    import random
+    import string
+
+    rng = random.Random(1)
+    words = ["the", "of", "house", "river", "returns", "value", "configuration", "object", "table", "function", "environment"]
+    scanner = secret_scan.Scanner()
+
+    def text(value):
+        return " ".join(rng.choices(words, k=30)) + " private key " + value + " " + " ".join(rng.choices(words, k=30))
+
+    alphabets = {"base62": (string.ascii_letters + string.digits, (14, 20, 40)), "letters": (string.ascii_letters, (20, 40)), "base64": (string.ascii_letters + string.digits + "+/", (24, 64))}
+    for alphabet, lengths in alphabets.values():
+        for n in lengths:
+            planted = [text("".join(rng.choices(alphabet, k=n))) for _ in range(100)]
+            found = [scanner.added(t, []) for t in planted]
+            assert sum(any(b - a >= n - 2 for a, _, b in f) for f in found) >= (95 if n >= 20 else 85), (alphabet[:3], n)
+            assert [[(a, b) for a, _, b in f] for f in found] == [plain_added(t, []) for t in planted]
+    names = ["configuration environment", "ModuleNotFoundError", "your_secret_here", "connection_string", "get_current_environment", "isinstance_of_the_object", "ConnectionRefusedError", "multiprocessing", "client_secret_placeholder"]
+    clean = [text(n) for n in names for _ in range(5)]
+    assert sum(bool(scanner.added(t, [])) for t in clean) <= 0.05 * len(clean)
+
+
 # -- 9
 
 
