@@ -1,17 +1,19 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's UTF-8 bytes are covered by overlapping chunks of ``2 * HALF`` bytes, one every ``HALF`` bytes. Learned
-filters of ``WIDTH`` bytes, one every ``STRIDE`` bytes, are rectified and averaged over a chunk; one more channel
-holds how far the chunk equals itself at its best lag. A learned rectified layer reads these channels in every
-chunk, its units are max-pooled over all chunks of the document, and a logistic unit gives the probability.
+filters of ``WIDTH`` bytes, one every ``STRIDE`` bytes, are rectified and averaged over a chunk. A learned rectified
+layer reads these channels in every chunk, its units are max-pooled over all chunks of the document, and a logistic
+unit gives the probability.
 
 A filter's response to a byte at an offset is a table entry, so that a response is a sum of ``WIDTH`` lookups.
 Training follows the maxima back to the chunks they came from (Adam, log loss). It uses at most ``MAX_ROWS``
-labelled rows, those with the least hash of their id, of texts up to ``MAX_TRAIN_BYTES``; scoring reads whole texts.
+labelled rows, those with the least hash of their id, whole and of any length, as long as they hold ``MAX_TRAIN_BYTES``
+together: a row that does not fit any more is passed over. Scoring reads whole texts.
 
-Defined results: a null or empty text is one chunk of padding; without labelled rows of both classes every
-score is the share of good rows, or 0.5 without labelled rows; a result does not depend on other rows; repeated
-rows give repeated results; extra columns are ignored.
+Defined results: an empty table gives no rows; a null or empty text is one chunk of padding; a very long text is all its
+chunks; ties in the hash of the id go by id and label; a score of the threshold itself is good; without labelled rows of
+both classes every score is the share of good rows, or 0.5 without labelled rows; rows are judged one by one, so that
+null ids, repeated ids and repeated rows change nothing; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,18 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, id_and_text, labels, record_batch, sliced
+from .common import checkpointed, documents, fold, id_and_text, labels, record_batch, sliced
 from .toxicity import labelled_sample
 
-#: Labelled rows that the network is fitted on, at most, and the bytes of the longest among them.
+#: Labelled rows that the network is fitted on, and their bytes, at most.
 MAX_ROWS = 3_000
-MAX_TRAIN_BYTES = 20_000
+MAX_TRAIN_BYTES = 24 << 20
 HALF = 64
 WIDTH = 6
 STRIDE = 2
 FILTERS = 16
 UNITS = 16
-LAGS = range(2, 25)
 THRESHOLD = 0.5
 SCAN = 1 << 19
 
@@ -44,26 +45,13 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data + bytes(HALF), np.uint8), halves
 
 
-def self_similarity(data: np.ndarray) -> np.ndarray:
-    """For each half, the largest share of bytes that equal the byte one lag before."""
-    best = np.zeros(len(data) // HALF, np.uint8)
-    filled = data != 0
-    same = np.zeros(len(data), bool)
-    for lag in LAGS:
-        np.equal(data[lag:], data[:-lag], out=same[lag:])
-        same[:lag] = False
-        np.logical_and(same, filled, out=same)
-        best = np.maximum(best, np.bitwise_count(np.packbits(same).view(np.uint64)))
-    return best.astype(np.float32) / HALF
-
-
 class Network:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.p = {
             "table": rng.normal(0, 0.4, (WIDTH, 256, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "units": rng.normal(0, 0.5, (FILTERS + 1, UNITS)).astype(np.float32),
+            "units": rng.normal(0, 0.5, (FILTERS, UNITS)).astype(np.float32),
             "unit_bias": np.zeros(UNITS, np.float32),
             "out": rng.normal(0, 0.3, UNITS).astype(np.float32),
             "out_bias": np.zeros(1, np.float32),
@@ -85,7 +73,6 @@ class Network:
     def channels(self, data: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Channels of every chunk, the text of every chunk, and the chunk's first half."""
         per_half = self.responses(data).reshape(-1, HALF // STRIDE, FILTERS).mean(axis=1)
-        per_half = np.concatenate([per_half, self_similarity(data[:-HALF])[:, None]], axis=1)
         first = np.cumsum(halves + 1) - halves  # behind the zeros
         text = np.repeat(np.arange(len(halves)), halves - 1)
         offset = np.arange(len(text)) - np.repeat(np.cumsum(halves - 1) - (halves - 1), halves - 1)
@@ -119,7 +106,7 @@ class Network:
         np.add.at(d_unit, (back, np.tile(np.arange(UNITS), len(texts))), d_pool.ravel())
         grad["units"] = channels[chunk].T @ d_unit + ridge * self.p["units"]
         grad["unit_bias"] = d_unit.sum(axis=0)
-        d_channel = (d_unit @ self.p["units"].T)[:, :FILTERS] / (2 * HALF // STRIDE)
+        d_channel = d_unit @ self.p["units"].T / (2 * HALF // STRIDE)
         places = (at[chunk][:, None] * HALF + np.arange(0, 2 * HALF, STRIDE)[None, :]).ravel()
         d_place = np.repeat(d_channel, 2 * HALF // STRIDE, axis=0) * (self.responses(data, places) > 0)
         table = np.zeros_like(self.p["table"])
@@ -153,8 +140,15 @@ class Network:
 
 
 def train(docs: DataFrame, truth: DataFrame, allowed: Column, limit: int = MAX_ROWS) -> Network:
-    sample = labelled_sample(docs, truth, "quality", allowed, limit).where(F.octet_length("text") <= MAX_TRAIN_BYTES)
-    rows = sample.select("doc_id", "y", "text").orderBy("doc_id", "y", "text").toArrow()
+    sample = checkpointed(labelled_sample(docs, truth, "quality", allowed, limit))
+    # one row of numbers for each of the sampled rows
+    sizes = sample.select(F.xxhash64("doc_id").alias("h"), "doc_id", "y", F.xxhash64("text").alias("t"), F.octet_length("text").alias("size")).orderBy("h", "doc_id", "y", "t").collect()
+    left, chosen = MAX_TRAIN_BYTES, []
+    for r in sizes:
+        if r["size"] <= left:
+            left -= r["size"]
+            chosen.append(r["doc_id"])
+    rows = sample.where(F.col("doc_id").isin(chosen)).select("doc_id", "y", "text").orderBy("doc_id", "y", "text").toArrow()
     return Network().fit([t.encode() for t in rows.column("text").to_pylist()], rows.column("y").to_pylist())
 
 
