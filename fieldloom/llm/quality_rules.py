@@ -7,14 +7,18 @@ either comparison to count. Everything is DataFrame expressions.
 * Character classes: lower-case letters, white space, upper-case letters, digits, sentence punctuation, rest.
 * Common words: the ``COMMON`` most frequent words of the language in the whole table (ties: smaller word
   first), and one class for all other words.
-* The ``LANGUAGES`` largest languages have a reference of their own; all others share one.
+* Languages with ``MIN_DOCS`` documents have a reference, however many there are; documents of smaller ones, which
+  would be held against themselves, are not compared. References are broadcast if they are ``MAX_SHARED`` at most, and
+  joined by language beyond that, with the hot languages broadcast.
 
 Repeated three-word windows are found without a shuffle: every window becomes one long, a truncated hash above
 its position; the longs are sorted as primitives, and only windows whose truncated hash occurs again are
 compared as strings.
 
-Defined results: a null or empty text has no words and fails the base rule; a null lang is a language of its
-own; repeated rows give repeated results; extra columns are ignored.
+Defined results: an empty table gives no rows; a null or empty text has no words and fails the base rule; a null lang
+is a language like any other; words that tie in frequency go by code point; distances of the limit itself pass; very long
+texts are counted whole; rows are judged one by one, so that null ids, repeated ids and repeated rows are reported as
+often as they occur; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, documents, let
+from .common import WORD, checkpointed, documents, joined_by_key, let
 
 COMMON = 20
-LANGUAGES = 256
+#: Documents from which a language has a reference, and references that are broadcast whole.
+MIN_DOCS = 20
+MAX_SHARED = 10_000
 #: Largest distances that pass, and the least sizes at which a distance counts.
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.32
@@ -35,8 +41,8 @@ MIN_WORDS = 100
 #: Patterns deleted one after the other; what a deletion removes is the class's count, the last class is the rest.
 CLASSES = (r"\p{Ll}+", r"[\x20\x09-\x0D]+", r"\p{Lu}+", r"[0-9]+", r"[.,;:?!'()-]+")
 N_CLASSES = len(CLASSES) + 1
-#: References: the one of all small languages, and a prefix for those of large ones.
-POOL, OWN = "*", "="
+#: Before a language's name, so that a null one has a name too.
+OWN = "="
 
 
 def class_counts(text: Column) -> Column:
@@ -100,39 +106,37 @@ def shares(counts: list[Column], total: Column) -> Column:
     return F.array(*[F.when(total > 0, c / total).otherwise(F.lit(0.0)) for c in counts])
 
 
-def references(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, ref of languages with a reference of their own) and (ref, classes, common, common_shares of every reference).
-
-    Class counts are summed by language first, which leaves a row for each language; the texts of the languages
-    without a reference of their own then count together.
-    """
+def references(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(lang, docs, classes, common, common_shares) of every language with a reference, and whether they are few enough to be broadcast."""
     sums = [F.sum(F.col("k")[i]).alias(f"k{i}") for i in range(N_CLASSES)]
-    each = checkpointed(docs.select("lang", class_counts(F.col("text")).alias("k")).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *sums))
-    own = each.orderBy(F.col("docs").desc(), "lang").limit(LANGUAGES).select("lang", F.col("lang").alias("ref"))
+    each = docs.select("lang", class_counts(F.col("text")).alias("k")).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *sums)
+    each = checkpointed(each.where(F.col("docs") >= MIN_DOCS))
+    few = each.count() <= MAX_SHARED
     total = sum((F.col(f"k{i}") for i in range(1, N_CLASSES)), F.col("k0"))
-    classes = named(each, own).groupBy("ref").agg(*[F.sum(f"k{i}").alias(f"k{i}") for i in range(N_CLASSES)])
-    classes = classes.select("ref", shares([F.col(f"k{i}") for i in range(N_CLASSES)], total).alias("classes"))
-    words = named(docs, own).select("ref", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("ref", "word").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.partitionBy("ref").orderBy(F.col("n").desc(), "word"))
+    classes = each.select("lang", "docs", shares([F.col(f"k{i}") for i in range(N_CLASSES)], total).alias("classes"))
+    own = each.select(F.col("lang").alias("own"))
+    known = docs.join(F.broadcast(own), F.col("lang") == F.col("own"), "left_semi") if few else docs
+    words = known.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
     top = words.withColumn("place", place).where(F.col("place") <= COMMON)
-    top = top.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
-    totals = words.groupBy("ref").agg(F.sum("n").alias("total"))
-    common = totals.join(top, "ref").select("ref", F.transform("top", lambda x: x["word"]).alias("common"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("head"))
+    top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("top"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    common = totals.join(top, "lang").select("lang", F.transform("top", lambda x: x["word"]).alias("common"), F.transform("top", lambda x: x["n"] / F.col("total")).alias("head"))
     rest = F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate("head", F.lit(0.0), lambda a, x: a + x))
-    found = classes.join(common, "ref", "left").select("ref", "classes", F.coalesce("common", F.array().cast("array<string>")).alias("common"), F.coalesce(F.concat("head", F.array(rest)), F.array(F.lit(1.0))).alias("common_shares"))
-    return own, found
+    found = classes.join(common, "lang", "left").select("lang", "docs", "classes", F.coalesce("common", F.array().cast("array<string>")).alias("common"), F.coalesce(F.concat("head", F.array(rest)), F.array(F.lit(1.0))).alias("common_shares"))
+    return found, few
 
 
-def named(rows: DataFrame, own: DataFrame) -> DataFrame:
-    """rows with ref; ``own`` has LANGUAGES rows at most."""
-    return rows.join(F.broadcast(own), "lang", "left").withColumn("ref", F.coalesce("ref", F.lit(POOL)))
+def spread() -> Column:
+    """Something to deal rows of hot languages by."""
+    return F.concat(F.lit("/"), F.md5(F.monotonically_increasing_id().cast("string").cast("binary")))
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and both distances (null: not compared)."""
     lang = F.concat(F.lit(OWN), F.coalesce(F.col("lang").cast("string"), F.lit("")))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), lang.alias("lang"))
-    own, refs = references(docs)
+    refs, few = references(docs)
     text = F.col("text")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n_dup_lines = let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
@@ -155,8 +159,9 @@ def judged(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     measured = measured.withColumn("base_failed", failed)
 
-    # at most LANGUAGES + 1 references of COMMON words each
-    joined = named(measured, own).join(F.broadcast(refs.select("ref", F.struct("classes", "common", "common_shares").alias("r"))), "ref", "left")
+    # a reference is COMMON words and as many numbers
+    found = refs.select("lang", "docs", F.struct("classes", "common", "common_shares").alias("r"))
+    joined = measured.join(F.broadcast(found.drop("docs")), "lang", "left") if few else joined_by_key(measured, checkpointed(found), ["lang"], "docs", spread())
 
     classes = let(class_counts(text), lambda k: distance(k, F.greatest(F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1).cast("long")), F.col("r.classes")))
     # every word between spaces of its own, so that neighbours do not share one
@@ -182,9 +187,9 @@ SQL = rf"""
 WITH d0 AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, '{OWN}' || coalesce(lang, '') AS lang FROM documents
 ), own AS (
-  SELECT lang, count(*) AS docs FROM d0 GROUP BY lang ORDER BY docs DESC, lang LIMIT {LANGUAGES}
+  SELECT lang, count(*) AS docs FROM d0 GROUP BY lang HAVING count(*) >= {MIN_DOCS}
 ), d AS (
-  SELECT rid, doc_id, text, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '{POOL}' END AS ref FROM d0
+  SELECT rid, doc_id, text, CASE WHEN lang IN (SELECT lang FROM own) THEN lang END AS ref FROM d0
 ), w AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d
 ), win AS (
