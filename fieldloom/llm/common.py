@@ -74,7 +74,7 @@ def one_row_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """
     doc_id = F.col("doc_id").cast("long")
     order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("hash"))
-    return rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), order).alias("row"), F.min(order).alias("order"))
+    return rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), order).alias("row"))
 
 
 def free_name(name: str, columns: list[str]) -> str:
