@@ -144,18 +144,22 @@ def judged(docs: DataFrame) -> DataFrame:
     def counts(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeated_window_words(w).cast("long").alias("n_repeat_words"),
+            # every word between spaces of its own, so that neighbours do not share one
+            F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" ")).alias("padded"),
         )
 
     measured = docs.select(
         "doc_id",
         "lang",
-        text,
+        class_counts(text).alias("k"),
         let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), counts).alias("c"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         n_dup_lines.cast("long").alias("n_dup_lines"),
-    ).select("doc_id", "lang", "text", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words")
+    )
+    # characters outside of words are the second class
+    everything = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x)
+    measured = measured.select("doc_id", "lang", "k", "c.padded", "c.n_words", (everything - F.col("k")[1]).alias("word_chars"), "n_symbols", "n_dup_lines", "c.n_repeat_words")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     measured = measured.withColumn("base_failed", failed)
 
@@ -163,9 +167,7 @@ def judged(docs: DataFrame) -> DataFrame:
     found = refs.select("lang", "docs", F.struct("classes", "common", "common_shares").alias("r"))
     joined = measured.join(F.broadcast(found.drop("docs")), "lang", "left") if few else joined_by_key(measured, checkpointed(found), ["lang"], "docs", spread())
 
-    classes = let(class_counts(text), lambda k: distance(k, F.greatest(F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1).cast("long")), F.col("r.classes")))
-    # every word between spaces of its own, so that neighbours do not share one
-    padded = F.concat(F.lit(" "), F.regexp_replace(text, r"[\x20\x09-\x0D]+", "  "), F.lit(" "))
+    classes = distance(F.col("k"), F.greatest(everything, F.lit(1).cast("long")), F.col("r.classes"))
 
     def common_counts(t: Column) -> Column:
         hits = F.transform(F.col("r.common"), lambda c: (F.length(t) - F.length(F.replace(t, F.concat(F.lit(" "), c, F.lit(" ")), F.lit("")))) / (F.length(c) + 2))
@@ -173,7 +175,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
     long_enough = ~F.col("base_failed") & F.col("r").isNotNull()
     class_distance = F.when(long_enough & (F.col("word_chars") >= MIN_CHARS), classes)
-    word_distance = F.when(long_enough & (F.col("n_words") >= MIN_WORDS), let(let(padded, common_counts), lambda h: distance(h, F.col("n_words"), F.col("r.common_shares"))))
+    word_distance = F.when(long_enough & (F.col("n_words") >= MIN_WORDS), let(let(F.col("padded"), common_counts), lambda h: distance(h, F.col("n_words"), F.col("r.common_shares"))))
     out = joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", class_distance.alias("class_distance"), word_distance.alias("word_distance"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
