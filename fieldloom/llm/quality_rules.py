@@ -71,10 +71,12 @@ def repeated_window_words(words: Column) -> Column:
         return let(keys, lambda s: covered(w, s, low))
 
     def covered(w: Column, s: Column, low: Column) -> Column:
+        high = F.bitwise_not(low)
+
         def twin(x: Column, j: Column) -> Column:
-            near = F.coalesce(F.get(s, j + 1).bitwiseXOR(x) <= low, F.lit(False)) & (F.coalesce(F.get(s, j + 1).bitwiseXOR(x), F.lit(-1)) >= 0)
-            far = F.coalesce(F.get(s, j - 1).bitwiseXOR(x) <= low, F.lit(False)) & (F.coalesce(F.get(s, j - 1).bitwiseXOR(x), F.lit(-1)) >= 0)
-            return near | far
+            near = F.get(s, j + 1).bitwiseAND(high) == x.bitwiseAND(high)
+            far = F.get(s, j - 1).bitwiseAND(high) == x.bitwiseAND(high)
+            return F.coalesce(near, F.lit(False)) | F.coalesce(far, F.lit(False))
 
         def window_at(x: Column) -> Column:
             p = x.bitwiseAND(low).cast("int")
