@@ -8,8 +8,10 @@ once, and the ids of a word are read back along the walk's stack.
 Two neighbouring tokens are compatible when merging their joined bytes never crosses the border between
 them. That is decided on the spines of their merge trees, without running the merges again.
 
-Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows give repeated
-results; strings of added tokens inside a text become those tokens' ids; extra columns are ignored.
+Defined results: an empty table gives no rows; a null or empty text has no ids and decodes to the empty text; very long
+texts are encoded whole; of equal merges the leftmost comes first, so that there are no ties; strings of added tokens
+inside a text become those tokens' ids; rows are encoded one by one, so that null ids, repeated ids and repeated rows
+change nothing; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
