@@ -259,6 +259,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def encodings(bpe: BpeCodec, texts: list[str]):
+    """(ids, (SHA-256 of the ids, SHA-256 of the decoded text)) of every text; equal neighbours share one encoding.
+
+    A mix has the copies of a row one after another.
+    """
+    last = None
+    for text in texts:
+        if text != last:
+            last, ids = text, bpe.encode(text)
+            hashes = hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()
+        yield ids, hashes
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of ints) of every row.
 
@@ -276,11 +289,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str | None = None, with_id
             count, ids_sha, text_sha, all_ids = [], [], [], []
             texts = batch.column(1).to_pylist()
             bpe.prepare(texts)
-            for text in texts:
-                ids = bpe.encode(text)
+            for ids, hashes in encodings(bpe, texts):
                 count.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                ids_sha.append(hashes[0])
+                text_sha.append(hashes[1])
                 if with_ids:
                     all_ids.append(ids)
             columns = [batch.column(0), count, ids_sha, text_sha]

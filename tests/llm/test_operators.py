@@ -51,6 +51,18 @@ def test_bpe_equals_the_library(spark, docs, plain):
     assert bpe.encode_documents(no_documents(spark)).count() == 0
 
 
+def test_bpe_encodes_neighbouring_copies_once():
+    codec = bpe.BpeCodec(open(bpe.default_path(), "rb").read())
+    texts = ["two words", "two words", "", "", "other", "two words"]
+    plain = [codec.encode(t) for t in texts]
+    seen, encode = [], codec.encode
+    codec.encode = lambda text: seen.append(text) or encode(text)
+    found = list(bpe.encodings(codec, texts))
+    assert seen == ["two words", "", "other", "two words"]
+    assert [ids for ids, _ in found] == plain
+    assert [h for _, h in found] == [(hashlib.sha256(i).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in zip(plain, texts, strict=True)]
+
+
 def test_bpe_on_random_strings():
     from tokenizers import Tokenizer
 
