@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry, kernels, special
-from fieldloom.operators import blocks, estimation, extremes, flops, likelihood, neighbors, precision, prediction
+from fieldloom.operators import blocks, estimation, extremes, flops, likelihood, neighbors, precision, prediction, regions
 from fieldloom.plans.config import Options, Theta, bounds, initial_theta, unpack
 from fieldloom.sources import points as src
 from fieldloom.sources import runlog
@@ -329,3 +329,31 @@ def test_runs_search_within_the_derived_radius(spark):
         seen["late"] += b.ord > 200
     assert seen["late"] > 50
     prepared.release()
+
+
+@pytest.mark.parametrize("kind", ["uniform", "copies", "lattice"])
+def test_regions_and_joins_agree(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    x = {"uniform": rng.random((700, 2)), "copies": np.repeat(rng.random((20, 2)), 35, axis=0), "lattice": rng.integers(0, 9, (700, 2)) / 8}[kind]
+    p = spark.createDataFrame([(i, *map(float, r), float(i)) for i, r in enumerate(x)], "point_id long, x1 double, x2 double, obs double").persist()
+    near, centers = blocks.classic_blocks(p)
+    order = blocks.ordered_blocks(centers, 3)
+    near = neighbors.with_order(near, order).persist()
+    monkeypatch.setattr(regions, "REGION", 60)
+    monkeypatch.setattr(regions, "HEAD", 50)
+    for m, threshold, test in ((1, None, False), (2, None, False), (7, None, False), (3, 0.1, False), (3, None, True), (5, 0.1, True)):
+        one = neighbors.nearest_earlier(order, near, m, threshold, test, limit=1)
+        two = neighbors.nearest_earlier_by_join(order, near, m, threshold, test)
+        assert sorted(map(tuple, one.select(*two.columns).collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_many_centers_meet_in_regions(spark, cloud, monkeypatch):
+    """A join of all points with all centers would make their product in rows."""
+    monkeypatch.setattr(regions, "REGION", 16)
+    centers = blocks.sampled_centers(cloud, 40, 2)
+    found = blocks.nearest_center(cloud, centers, limit=3)
+    assert "NestedLoop" not in (plan := found._jdf.queryExecution().toString()) and "Cartesian" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, blocks.nearest_center_by_join(cloud, centers).collect()))
+    near, order = ordered(cloud, 40)
+    plan = neighbors.nearest_earlier(order, near, 2, limit=3)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
