@@ -23,6 +23,8 @@ from ..functions.marginal import transform
 from ..plans.config import Theta
 
 LOG_2PI = math.log(2 * math.pi)
+#: Members from which on a block's points are merged by place.
+MERGED_FROM = 256
 
 
 def inverse_squares(ranges: Sequence[float]) -> list[float]:
@@ -143,6 +145,38 @@ def block_terms(px, py, nx, ny, theta: Theta, kernel_type: str, dtype: str = "do
     return float(2 * np.log(np.diag(factor)[m:].astype(np.float64)).sum()), float((z[m:].astype(np.float64) ** 2).sum()), mean, np.maximum((lower * lower).sum(axis=1), 0.0), True
 
 
+def merged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(places, mean observation and number of points at each place, squares within places)."""
+    places, at = np.unique(x, axis=0, return_inverse=True)
+    at = at.reshape(-1)
+    count = np.bincount(at, minlength=len(places)).astype(np.float64)
+    mean = np.bincount(at, y, len(places)) / np.maximum(count, 1.0)
+    return places, mean, count, float(((y - mean[at]) ** 2).sum())
+
+
+def block_value(px, py, nx, ny, theta: Theta, kernel_type: str, dtype: str = "double") -> tuple[float, float, bool]:
+    """(logdet, quad, ok) of one block; a large block has one row in its matrix for each place, not for each point.
+
+    k points at one place are their mean, with a nugget of nugget / k, and k - 1 contrasts that only hold nugget.
+    """
+    d, s2 = len(theta.ranges), theta.nugget
+    if len(py) < MERGED_FROM or s2 <= 0 or dtype != "double":
+        logdet, quad, _, _, ok = block_terms(px, py, nx, ny, theta, kernel_type, dtype)
+        return logdet, quad, ok
+    near, near_y, near_k, _ = merged(nx.reshape(-1, d), ny)
+    own, own_y, own_k, within = merged(px.reshape(-1, d), py)
+    m, x = len(near_y), np.concatenate([near, own])
+    cov = covariance(x, x, theta, kernel_type)
+    cov[np.diag_indices(len(x))] += s2 / np.concatenate([near_k, own_k])
+    try:
+        factor = np.linalg.cholesky(cov)
+    except np.linalg.LinAlgError:
+        return 0.0, 0.0, False
+    z = forward(factor, np.concatenate([near_y, own_y]))[m:]
+    logdet = 2 * np.log(np.diag(factor)[m:]).sum() + np.log(own_k).sum() + (len(py) - len(own_y)) * math.log(s2)
+    return float(logdet), float((z * z).sum() + within / s2), True
+
+
 def member_predictions(px, nx, ny, theta: Theta, kernel_type: str) -> tuple[np.ndarray, np.ndarray] | None:
     """Conditional mean and variance of every member alone, given the neighbours, from one factor; None where there is none."""
     d = len(theta.ranges)
@@ -177,7 +211,7 @@ def block_sums(table: DataFrame, theta: Theta, kernel_type: str, dtype: str = "d
                     py, log_f, log_b = transform(px.reshape(-1, d), py, theta.extremes, tuple(anchor), anchor_value)
                     ny = transform(nx.reshape(-1, d), ny, theta.extremes, tuple(anchor), anchor_value)[0]
                     sums[4] += log_f.sum() + 0.5 * (py * py).sum() - log_b.sum()
-                logdet, quad, _, _, ok = block_terms(px, py, nx, ny, theta, kernel_type, dtype)
+                logdet, quad, ok = block_value(px, py, nx, ny, theta, kernel_type, dtype)
                 sums[:4] += (logdet, quad, len(py), not ok)
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], names=["logdet", "quad", "n", "failed", "extra"])
 

@@ -227,7 +227,7 @@ def block_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_likelihood(spark: SparkSession, d: str) -> DataFrame:
-    near, order = ordered(parts(spark, d))
+    near, order = ordered(kept(parts(spark, d)))
     table = likelihood.block_table(near, neighbors.nearest_earlier(order, near, 20))
     return rounded(likelihood.block_loglik(table, THETA, "matern32"), 4)
 

@@ -357,3 +357,17 @@ def test_many_centers_meet_in_regions(spark, cloud, monkeypatch):
     near, order = ordered(cloud, 40)
     plan = neighbors.nearest_earlier(order, near, 2, limit=3)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_copies_of_a_place_share_a_row_of_the_matrix(monkeypatch):
+    """40 places with 10 points each: a matrix of 400 rows is more than the merged block may make."""
+    rng = np.random.default_rng(4)
+    places = rng.random((40, 2))
+    px, nx = np.repeat(places, 10, axis=0)[rng.permutation(400)], np.concatenate([places[:3], places[:2], rng.random((4, 2))])
+    py, ny = rng.normal(size=400), rng.normal(size=9)
+    logdet, quad, _, _, ok = likelihood.block_terms(px.ravel(), py, nx.ravel(), ny, THETA, "matern32")
+    made, covariance = [], likelihood.covariance
+    monkeypatch.setattr(likelihood, "covariance", lambda a, b, *more: made.append(len(a)) or covariance(a, b, *more))
+    got = likelihood.block_value(px.ravel(), py, nx.ravel(), ny, THETA, "matern32")
+    assert made == [47] and ok and got[2]
+    assert got[:2] == pytest.approx((logdet, quad), rel=1e-9)
