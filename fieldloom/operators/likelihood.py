@@ -195,6 +195,13 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _transformed(x: list[np.ndarray], y: list[np.ndarray], theta: Theta, anchor: tuple[float, ...], anchor_value: float) -> tuple[list[np.ndarray], float]:
+    """(latent values of every block, sum of their log f + y**2 / 2 - log b), all blocks of a batch in one call."""
+    whole_x = np.concatenate([*x, np.zeros(0)]).reshape(-1, len(theta.ranges))
+    latent, log_f, log_b = transform(whole_x, np.concatenate([*y, np.zeros(0)]), theta.extremes, anchor, anchor_value)
+    return np.split(latent, np.cumsum([len(v) for v in y])[:-1]) if y else [], float(log_f.sum() + 0.5 * (latent * latent).sum() - log_b.sum())
+
+
 def block_sums(table: DataFrame, theta: Theta, kernel_type: str, dtype: str = "double", anchor: Sequence[float] = (), anchor_value: float = 0.0) -> DataFrame:
     """logdet, quad, n, failed, extra: one row for each Arrow batch of blocks (partial sums).
 
@@ -203,14 +210,13 @@ def block_sums(table: DataFrame, theta: Theta, kernel_type: str, dtype: str = "d
     """
 
     def run(batches):
-        d = len(theta.ranges)
         for batch in batches:
             sums = np.zeros(5)
-            for px, py, nx, ny in zip(*[_arrays(batch.column(k)) for k in range(1, 5)], strict=True):
-                if theta.extremes:
-                    py, log_f, log_b = transform(px.reshape(-1, d), py, theta.extremes, tuple(anchor), anchor_value)
-                    ny = transform(nx.reshape(-1, d), ny, theta.extremes, tuple(anchor), anchor_value)[0]
-                    sums[4] += log_f.sum() + 0.5 * (py * py).sum() - log_b.sum()
+            all_px, all_py, all_nx, all_ny = (_arrays(batch.column(k)) for k in range(1, 5))
+            if theta.extremes:
+                all_py, sums[4] = _transformed(all_px, all_py, theta, tuple(anchor), anchor_value)
+                all_ny, _ = _transformed(all_nx, all_ny, theta, tuple(anchor), anchor_value)
+            for px, py, nx, ny in zip(all_px, all_py, all_nx, all_ny, strict=True):
                 logdet, quad, ok = block_value(px, py, nx, ny, theta, kernel_type, dtype)
                 sums[:4] += (logdet, quad, len(py), not ok)
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in sums], names=["logdet", "quad", "n", "failed", "extra"])
@@ -235,11 +241,11 @@ def block_predictions(table: DataFrame, theta: Theta, kernel_type: str, anchor:
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], []]
-            for cid, px, py, nx, ny in zip(batch.column(0).to_pylist(), *[_arrays(batch.column(k)) for k in range(1, 5)], strict=True):
-                d = len(theta.ranges)
-                if theta.extremes:
-                    py = transform(px.reshape(-1, d), py, theta.extremes, tuple(anchor), anchor_value)[0]
-                    ny = transform(nx.reshape(-1, d), ny, theta.extremes, tuple(anchor), anchor_value)[0]
+            all_px, all_py, all_nx, all_ny = (_arrays(batch.column(k)) for k in range(1, 5))
+            if theta.extremes:
+                all_py, _ = _transformed(all_px, all_py, theta, tuple(anchor), anchor_value)
+                all_ny, _ = _transformed(all_nx, all_ny, theta, tuple(anchor), anchor_value)
+            for cid, px, py, nx, ny in zip(batch.column(0).to_pylist(), all_px, all_py, all_nx, all_ny, strict=True):
                 mean, var = member_predictions(px, nx, ny, theta, kernel_type) or ([None] * len(py), [None] * len(py))
                 for column, values in zip(out, ([cid] * len(py), range(len(py)), py, mean, var), strict=True):
                     column.extend(values)

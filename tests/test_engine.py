@@ -371,3 +371,18 @@ def test_copies_of_a_place_share_a_row_of_the_matrix(monkeypatch):
     got = likelihood.block_value(px.ravel(), py, nx.ravel(), ny, THETA, "matern32")
     assert made == [47] and ok and got[2]
     assert got[:2] == pytest.approx((logdet, quad), rel=1e-9)
+
+
+def test_a_batch_is_transformed_at_once(monkeypatch):
+    """One call for all blocks of a batch, with or without neighbours, and the values of a call for each block."""
+    rng = np.random.default_rng(6)
+    theta = Theta(1.0, 0.01, (0.4, 0.4), extremes={"lambda_a": 0.5, "kappa_a": 1.2, "beta": 0.3, "mu": 0.1, "tau": 0.9, "delta1": 0.6})
+    x, y = [rng.random(2 * n) for n in (1, 0, 3)], [rng.normal(size=n) for n in (1, 0, 3)]
+    plain = [likelihood.transform(a.reshape(-1, 2), b, theta.extremes, (0.5, 0.5), 1.5) for a, b in zip(x, y, strict=True)]
+    calls, transform = [], likelihood.transform
+    monkeypatch.setattr(likelihood, "transform", lambda *a: calls.append(1) or transform(*a))
+    latent, extra = likelihood._transformed(x, y, theta, (0.5, 0.5), 1.5)
+    assert len(calls) == 1 and [len(v) for v in latent] == [1, 0, 3]
+    assert np.concatenate(latent) == pytest.approx(np.concatenate([p[0] for p in plain]), rel=1e-12)
+    assert extra == pytest.approx(sum(f.sum() + 0.5 * (v * v).sum() - b.sum() for v, f, b in plain), rel=1e-12)
+    assert likelihood._transformed([], [], theta, (0.5, 0.5), 1.5) == ([], 0.0)
