@@ -208,7 +208,7 @@ def links(classes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataF
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (its least reachable node) of every node with a link, from rows (a, b)."""
+    """node, root (its least reachable node) of every node with a link that is no root itself, from rows (a, b)."""
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
 
     def state(e: DataFrame) -> tuple:
@@ -253,6 +253,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     rows = checkpointed(fingerprints(docs, words))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n"))
     roots = components(links(classes.select("fp"), radius, split))
+    # the least fingerprint of a component belongs to it too
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     found = named_components(rows, classes, roots, "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

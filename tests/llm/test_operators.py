@@ -577,6 +577,19 @@ def test_simhash_components(spark, docs, plain):
     assert simhash.near_duplicates(no_documents(spark)).count() == 0
 
 
+def test_simhash_names_the_least_fingerprint_with_its_component(spark, monkeypatch):
+    """Near fingerprints in pairs, a chain, and a large group of copies beside one near copy."""
+    rng = np.random.default_rng(9)
+    values, far = {}, [int(v) for v in rng.integers(0, 2**63, 30)]
+    for k, v in enumerate(far):
+        values |= {10 * k + 3: v, 10 * k + 1: v ^ (1 << k), 10 * k + 2: v ^ (1 << k) ^ (7 << 40)}
+    values |= {i: far[0] for i in range(1000, 1400)}
+    frame = spark.createDataFrame([(i, simhash.signed(v)) for i, v in values.items()], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: frame)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame).collect()}
+    assert got == plain_components(values, 3) and len(set(got.values())) == 30
+
+
 @pytest.mark.parametrize("radius", [3, 6])
 def test_covering_masks_miss_nothing(radius):
     rng = np.random.default_rng(6)
