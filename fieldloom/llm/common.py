@@ -117,7 +117,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Give a worker's free memory back to the system, so that stages that follow each other do not add up."""
+    """Give a process's free memory back to the system, so that stages that follow each other do not add up."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

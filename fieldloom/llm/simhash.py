@@ -12,7 +12,7 @@ out again under the same construction over its free positions; for radius 3, wha
 16 positions at most, which bounds the members of a second bucket by 2**16 whatever the data.
 
 Components come from alternating large-star and small-star rounds, each a grouped minimum and a join, with a
-checkpoint after every round. Hot fingerprints, components and hubs are joined by broadcast.
+checkpoint after every round, until every link leads to the least node of its component. Hot fingerprints, components and hubs are joined by broadcast.
 
 Defined results: an empty table gives no rows; a null or empty text has the fingerprint zero and is linked like
 any other; texts with fewer words than a shingle take their whole word sequence; a very long text is voted on in
@@ -37,6 +37,8 @@ RADIUS = 3
 SEED = 42
 SPLIT = 4096
 ROUNDS = 60
+#: Links that a task of a round has at least, so that few links are not dealt out over every shuffle partition.
+TASK_LINKS = 1 << 17
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -210,26 +212,30 @@ def links(classes: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataF
 def components(edges: DataFrame) -> DataFrame:
     """node, root (its least reachable node) of every node with a link that is no root itself, from rows (a, b)."""
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    least_tasks = edges.sparkSession.sparkContext.defaultParallelism
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def state(e: DataFrame) -> tuple[int, int]:
+        """Links, and nodes that are not settled: those with two links down, or with links both down and up."""
+        ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))).alias("end")).select("end.*")
+        nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+        n, unsettled = nodes.agg(F.sum("down"), F.count_if((F.col("down") > 1) | (F.col("down") > 0) & (F.col("least") == 0))).first()
+        return n or 0, unsettled
 
-    before = state(edges)
     for _ in range(ROUNDS):
-        if not before[0]:
+        n, unsettled = state(edges)
+        if not unsettled:  # stars around the least node of each component
             break
+        # a round makes no more links than there are: their number says how many tasks they are worth
+        tasks = max(least_tasks, -(-n // TASK_LINKS))
+        edges = edges.coalesce(tasks)
         # large star: a node's larger neighbours move to its least neighbour (or to itself)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = joined_by_key(both, least, ["a"], "n", F.xxhash64("a", "b"), 2 * before[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its smaller neighbours move to the least of them
+        large = joined_by_key(both, least, ["a"], "n", F.xxhash64("a", "b"), 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # small star: a node and its smaller neighbours move to the least of them; links that repeat go at the end
         smallest = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        moved = joined_by_key(large, smallest, ["a"], "n", F.xxhash64("a", "b"), 2 * before[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(moved.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct())
-        after = state(edges)
-        if after == before:
-            break
-        before = after
+        moved = joined_by_key(large, smallest, ["a"], "n", F.xxhash64("a", "b"), 2 * n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = checkpointed(moved.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks))
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

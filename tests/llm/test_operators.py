@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -118,6 +119,17 @@ def test_swaps_lose_their_influence():
     assert toxicity.swapped({"plain"}) is None
 
 
+def test_fit_holds_few_whole_arrays():
+    """The driver fits: of all feature slots, only counts and column numbers are held, no floating point figures."""
+    rows = [toxicity.training_row(k % 2, {"plain", "bad" if k % 2 else "good", f"w{k}"}) for k in range(200)]
+    tracemalloc.start()
+    model = toxicity.fit(rows, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * 4 * 2**toxicity.BITS
+    assert model.score("bad") > model.score("good")
+
+
 def test_counterfactuals_clear_neutral_mentions(spark):
     """A term that toxic rows mention often: neutral mentions are flagged without the swaps, and not with them."""
     rng = np.random.default_rng(3)
@@ -632,6 +644,33 @@ def test_long_chains_settle(spark):
     assert {r["root"] for r in simhash.components(edges).collect()} == {0}
 
 
+def test_rounds_follow_the_links(spark, monkeypatch):
+    """Stars take no round, and few links few tasks, whatever the number of shuffle partitions."""
+    made, plain = [], simhash.checkpointed
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: made.append(plain(df)) or made[-1])
+    stars = spark.range(1, 100).select(F.col("id").alias("a"), (F.col("id") % 7 - 10).alias("b"))
+    assert {(r["node"], r["root"]) for r in simhash.components(stars).collect()} == {(i, i % 7 - 10) for i in range(1, 100)}
+    assert len(made) == 1
+    assert simhash.components(stars.where("a < 0")).count() == 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for name, value in (("spark.sql.shuffle.partitions", "50"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+            spark.conf.set(name, value)
+        rng = np.random.default_rng(3)
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (250, 2))]
+        found = simhash.components(spark.createDataFrame(pairs, "a long, b long"))
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        got = {r["node"]: r["root"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {i: r for i, r in enumerate(root) if r != i}
+
+
 # -- 10
 
 
