@@ -119,6 +119,14 @@ def test_swaps_lose_their_influence():
     assert toxicity.swapped({"plain"}) is None
 
 
+def test_rows_send_features_without_counts():
+    """Words that share a prefix have its feature twice; a list of ids alone says so."""
+    words = {"testing", "tested", "women"}
+    y, ids, *changes = toxicity.training_row(1, words)
+    assert y == 1 and ids == sorted(f for w in words for f in toxicity.feature_ids(w)) and len(set(ids)) < len(ids)
+    assert len(changes) == 4 and all(len(a) == len(n) for a, n in (changes[:2], changes[2:]))
+
+
 def test_fit_holds_few_whole_arrays():
     """The driver fits: of all feature slots, only counts and column numbers are held, no floating point figures."""
     rows = [toxicity.training_row(k % 2, {"plain", "bad" if k % 2 else "good", f"w{k}"}) for k in range(200)]
