@@ -214,6 +214,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     least_tasks = edges.sparkSession.sparkContext.defaultParallelism
 
+    def tasks(n: int) -> int:
+        return max(least_tasks, -(-n // TASK_LINKS))
+
     def state(e: DataFrame) -> tuple[int, int]:
         """Links, and nodes that are not settled: those with two links down, or with links both down and up."""
         ends = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))).alias("end")).select("end.*")
@@ -221,13 +224,12 @@ def components(edges: DataFrame) -> DataFrame:
         n, unsettled = nodes.agg(F.sum("down"), F.count_if((F.col("down") > 1) | (F.col("down") > 0) & (F.col("least") == 0))).first()
         return n or 0, unsettled
 
+    # the number of links says how many tasks they are worth; a round makes no more links than there are
+    edges = edges.coalesce(tasks(edges.count()))
     for _ in range(ROUNDS):
         n, unsettled = state(edges)
         if not unsettled:  # stars around the least node of each component
             break
-        # a round makes no more links than there are: their number says how many tasks they are worth
-        tasks = max(least_tasks, -(-n // TASK_LINKS))
-        edges = edges.coalesce(tasks)
         # large star: a node's larger neighbours move to its least neighbour (or to itself)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -235,7 +237,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours move to the least of them; links that repeat go at the end
         smallest = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         moved = joined_by_key(large, smallest, ["a"], "n", F.xxhash64("a", "b"), 2 * n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(moved.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks))
+        edges = checkpointed(moved.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct().coalesce(tasks(n)))
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
