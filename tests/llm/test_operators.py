@@ -679,6 +679,20 @@ def test_rounds_follow_the_links(spark, monkeypatch):
     assert got == {i: r for i, r in enumerate(root) if r != i}
 
 
+def test_few_stars_take_few_tasks(spark):
+    """Links that need no round are counted, and handed on, in few tasks too."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for name, value in (("spark.sql.shuffle.partitions", "50"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+            spark.conf.set(name, value)
+        found = simhash.components(spark.range(1, 100).select(F.col("id").alias("a"), (F.col("id") % 7 - 10).alias("b")))
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {(r["node"], r["root"]) for r in found.collect()} == {(i, i % 7 - 10) for i in range(1, 100)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 # -- 10
 
 
