@@ -386,3 +386,27 @@ def test_a_batch_is_transformed_at_once(monkeypatch):
     assert np.concatenate(latent) == pytest.approx(np.concatenate([p[0] for p in plain]), rel=1e-12)
     assert extra == pytest.approx(sum(f.sum() + 0.5 * (v * v).sum() - b.sum() for v, f, b in plain), rel=1e-12)
     assert likelihood._transformed([], [], theta, (0.5, 0.5), 1.5) == ([], 0.0)
+
+
+def test_long_covariance_deals_a_block_to_many_tasks(spark):
+    """130 points of a block at each of 4 places, two of them nulls and NaN, an id given twice: all pairs, no task with most of them."""
+    theta, nan = Theta(1.0, 0.01, (0.4, 0.4)), float("nan")
+    places = [(0.0, 0.1), (-0.0, 0.1), (0.7, 0.2), (nan, 0.5), (None, 0.5)]
+    points = [(k, 7, *places[k % 5]) for k in range(650)] + [(650, 8, 0.1, 0.1), (3, 7, 0.7, 0.2)]
+    assigned = spark.createDataFrame(points, "point_id long, cid long, x1 double, x2 double")
+    got = likelihood.covariance_long(assigned, theta, "matern32", digits=9)
+
+    def value(a, b):
+        if a[2] is None or b[2] is None:
+            return None
+        s = math.sqrt(3.0) * math.hypot(a[2] - b[2], a[3] - b[3]) / 0.4
+        found = (1.0 + s) * math.exp(-s) + (0.01 if a[0] == b[0] else 0.0)
+        return "nan" if math.isnan(found) else round(found, 7)
+
+    def told(v):
+        return v if v is None else "nan" if math.isnan(v) else round(v, 7)
+
+    want = Counter((a[1], a[0], b[0], value(a, b)) for a in points for b in points if a[1] == b[1] and a[0] <= b[0])
+    assert Counter((r["cid"], r["i"], r["j"], told(r["val"])) for r in got.collect()) == want
+    shares = [r["count"] for r in got.where("cid = 7").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 1 and max(shares) < 0.75 * sum(shares)
