@@ -7,6 +7,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import documents, no_documents
 from pyspark.sql import functions as F
@@ -231,3 +233,46 @@ def test_uneven_clusters_go_by_reachability(spark):
         lead = found.get(r["class"], r["class"])
         assert groups[number[lead]] == groups[r["doc_id"]]
     assert len({found.get(r["class"], r["class"]) for r in names}) == len(set(groups))
+
+
+def test_members_of_buckets_travel_packed(spark):
+    """Few rows for all members, not 150 for every class, and each member once in every table."""
+    rng = np.random.default_rng(8)
+    rows = [(0, i, int(own), int(guard), i % 10) for i, (own, guard) in enumerate(zip(rng.integers(0, 1 << 48, 500), rng.integers(0, 1 << 62, 500), strict=True))]
+    frame = spark.createDataFrame(rows, "key long, class long, own long, guard long, k int").coalesce(1)
+    found = near_dedup.dealt(frame, 4).collect()
+    assert len(found) <= 40 and all(r["slice"] // 4 == r["k"] for r in found)
+    members = np.concatenate([np.frombuffer(bytes(r["members"]), near_dedup.MEMBER) for r in found])
+    assert len(members) == 500 * len(near_dedup.MASKS) and (np.bincount(members["class"]) == len(near_dedup.MASKS)).all()
+
+
+def test_buckets_of_a_slice(monkeypatch):
+    """Links join the pairs that plain comparison joins, whatever is held; every member of a large bucket comes out once."""
+    rng = np.random.default_rng(9)
+    members = np.zeros(3000, near_dedup.MEMBER)
+    members["key"] = np.where(rng.random(3000) < 0.1, 7, rng.integers(10, 900, 3000))
+    members["class"] = rng.permutation(3000)
+    base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    members["guard"] = base[rng.integers(0, 3, 3000)] ^ (np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64))
+    expected = {}
+    for key in set(members["key"].tolist()) - {7}:
+        rows = members[members["key"] == key]
+        a, b = near_dedup.guarded(rows["class"], rows["guard"].view(np.int64))
+        expected |= {(int(x), int(y)): key for x, y in zip(a, b, strict=True)}
+    batches = [pa.RecordBatch.from_arrays([pa.array([0]), pa.array([2], pa.int32()), pa.array([members[i : i + 100].tobytes()], pa.binary())], names=["slice", "k", "members"]) for i in range(0, 3000, 100)]
+    for held in (near_dedup.HELD, 200):
+        monkeypatch.setattr(near_dedup, "HELD", held)
+        rows = [r for batch in near_dedup._bucket_rows(100)(iter(batches)) for r in batch.to_pylist()]
+        assert {(r["a"], r["b"]) for r in rows if r["key"] is None} == set(expected) and all(r["k"] == 2 for r in rows)
+        assert sorted(r["a"] for r in rows if r["key"] == 7) == sorted(members["class"][members["key"] == 7].tolist())
+        assert all(r["key"] in (None, 7) for r in rows)
+
+
+def test_only_texts_in_clusters_are_read_again(spark):
+    """A text that shares its class with no other and has no near copy is not in the table of those to be looked at."""
+    rows = [(i, f"text {i} of words that no other text has {i} {i + 1} {i + 2}") for i in range(200)] + [(500, "Text 3 of words that no other text has 3 4 5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.classed(docs, 5)
+    several = found.groupBy("class").count().where("count > 1").select("class")
+    assert near_dedup.flagged(found, several).count() == 2
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_copies(docs, 5).collect()) == list(range(200))
