@@ -410,3 +410,26 @@ def test_long_covariance_deals_a_block_to_many_tasks(spark):
     assert Counter((r["cid"], r["i"], r["j"], told(r["val"])) for r in got.collect()) == want
     shares = [r["count"] for r in got.where("cid = 7").groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) > 1 and max(shares) < 0.75 * sum(shares)
+
+
+def test_small_blocks_are_factored_together(monkeypatch):
+    """Blocks of many sizes, one of them empty and one without a factor: the sums of the blocks alone, from fewer factors than blocks."""
+    rng = np.random.default_rng(12)
+    sizes = [(int(n), int(m)) for n, m in zip(rng.integers(0, 90, 60), rng.integers(0, 21, 60), strict=True)] + [(0, 0), (300, 20)]
+    px, py = [rng.random(2 * n) for n, _ in sizes], [rng.normal(size=n) for n, _ in sizes]
+    nx, ny = [rng.random(2 * m) for _, m in sizes], [rng.normal(size=m) for _, m in sizes]
+    for kernel_type in ("matern12", "matern52", "exponential"):
+        alone = np.array([likelihood.block_value(*v, THETA, kernel_type) for v in zip(px, py, nx, ny, strict=True)])
+        calls, plain = [], np.linalg.cholesky
+        monkeypatch.setattr(np.linalg, "cholesky", lambda a, calls=calls, plain=plain: calls.append(1) or plain(a))
+        logdet, quad, failed = likelihood.block_values(px, py, nx, ny, THETA, kernel_type)
+        monkeypatch.undo()
+        assert (logdet, quad, failed) == (pytest.approx(alone[:, 0].sum(), rel=1e-9), pytest.approx(alone[:, 1].sum(), rel=1e-9), 0)
+        assert len(calls) < 50
+    bad = Theta(1.0, -1e-3, (0.4, 0.4))
+    px[3], py[3] = np.zeros(20), np.zeros(10)
+    alone = np.array([likelihood.block_value(*v, bad, "matern12") for v in zip(px, py, nx, ny, strict=True)])
+    logdet, quad, failed = likelihood.block_values(px, py, nx, ny, bad, "matern12")
+    assert failed == len(sizes) - alone[:, 2].sum() > 0
+    assert (logdet, quad) == (pytest.approx(alone[:, 0].sum(), rel=1e-9), pytest.approx(alone[:, 1].sum(), rel=1e-9))
+    assert likelihood.block_values([], [], [], [], THETA, "matern12") == (0.0, 0.0, 0)
